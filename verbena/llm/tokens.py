@@ -21,8 +21,8 @@ MAGIC = b"VTOKENS1"
 BLOCK_IDS = 4096
 #: A file is closed after the document that brings it to so many ids.
 FILE_IDS = 2_000_000
-#: Chunks a worker keeps the ids of.
-KNOWN = 400_000
+#: Chunks, and their pieces, that a worker keeps the ids of.
+KNOWN = 500_000
 _HEAD = struct.Struct("<8sBQQQ")
 
 
@@ -99,7 +99,6 @@ class Encoder:
     """
 
     chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-    other = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
     #: Of chunks of these characters alone the pre-tokens are known without asking the library, which takes most of its time for them.
     plain = re.compile("[ \n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
     pieces = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+| ?[0-9]+| ?[^ \nA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[ \n]+(?![^ \n])|[ \n]+")
@@ -115,7 +114,7 @@ class Encoder:
         self.added = [t["content"] for t in said.get("added_tokens", [])]
         odd = [t for t in said.get("added_tokens", []) if re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]]
         self.by_chunk = said.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and said["model"]["type"] == "BPE" and not odd
-        self.model, self.most, self.known, self.of_piece = self.tokenizer.model, known, {}, {}
+        self.model, self.most, self.known, self.of_piece = self.tokenizer.model, known, _Known(self._chunk), {}
         # byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -140,24 +139,32 @@ class Encoder:
             return b"".join(map(self._piece, self.pieces.findall(chunk)))
         return self._whole(chunk)
 
+    def _text(self, t: str) -> bytes:
+        if not t.replace("\n", " ").isprintable():  # other white space, or what may be: no chunks
+            return self._whole(t)
+        if t[:1] == " " or "  " in t or " \n" in t or "\n " in t or "\n\n" in t:
+            return b"".join(map(self._chunk, self.chunks.findall(t)))
+        first, *rest = t.replace("\n", " \n").split(" ")  # cut before each space and line feed, the space left out
+        return b"".join([self._chunk(first) if first else b"", *map(self.known.__getitem__, rest)])
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_chunk:
             return [np.frombuffer(self._whole(t), "<u4") for t in texts]
-        if len(self.known) > self.most:
-            self.known = {}
-        if len(self.of_piece) > self.most:
-            self.of_piece = {}
-        out, known = [], self.known
-        for t in texts:
-            if self.other.search(t):
-                out.append(np.frombuffer(self._whole(t), "<u4"))
-                continue
-            chunks = self.chunks.findall(t)
-            for c in chunks:
-                if c not in known:
-                    known[c] = self._chunk(c)
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4"))
-        return out
+        for held in (self.known, self.of_piece):
+            if len(held) > self.most:
+                held.clear()
+        return [np.frombuffer(self._text(t), "<u4") for t in texts]
+
+
+class _Known(dict):
+    """Ids of a chunk by its text without the leading space."""
+
+    def __init__(self, learn) -> None:
+        self.learn = learn
+
+    def __missing__(self, part: str) -> bytes:
+        got = self[part] = self.learn(part if part[:1] == "\n" else " " + part)
+        return got
 
 
 _encoders: dict[str, Encoder] = {}
