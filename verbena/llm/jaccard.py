@@ -327,3 +327,17 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     names = nodes.join(named, "node", "left").select("node", F.coalesce("least", "id").alias("component_id"), "copies")
     out = join_groups(listed, names, "node", "copies", total)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Of every class the document with the smallest id, with all its columns; rows without id stay.
+
+    Only rows that a Bloom filter of the ids to drop, and of ids that occur twice, lets through shuffle. Repeated rows
+    (same id and text) leave one.
+    """
+    drop = write_table(classes.filter(f"{id_col} <> component_id").select(id_col).distinct(), "dropped")
+    twice = classes.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
+    ids = write_table(drop.union(twice), "checked")
+    flagged, free = rows_with_ids(docs, ids, id_col, max(1, ids.count()))
+    kept = flagged.filter(F.col(id_col).isNotNull()).join(drop, id_col, "left_anti").select(docs.columns).dropDuplicates([id_col, "text"])
+    return free.unionByName(kept).unionByName(flagged.filter(F.col(id_col).isNull()))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, join_groups, uid, write_table
+from .common import SPACE, WORD, join_groups, uid, write_table
 
 BLOCK = 256
 SHARD_SLOTS = 4096
@@ -74,13 +74,13 @@ def shard_counts(slots: DataFrame) -> DataFrame:
     return slots.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("words").alias("n_words"))
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, int]:
+def packed(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep_uid: bool = False) -> tuple[DataFrame, int]:
     """Rows (uid, id, source, size, start): start is the first word's place in the source's stream of words.
 
     Two-level prefix sums: by bucket of a source, then within the bucket, so that no task orders a whole source.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    rows = write_table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("uid", uid()), "sizes")
+    rows = write_table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), (F.col("uid") if keep_uid else uid()).alias("uid")), "sizes")
     total = rows.count()
     bucket = F.pmod(F.xxhash64("id", "uid"), F.lit(max(64, total // 10_000)))
     rows = rows.withColumn("bucket", bucket)
@@ -116,3 +116,31 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stats = targets.select(F.struct("source").alias("src"), "source_size", "target", "n_docs")
     out = join_groups(out, stats, "src", "n_docs", total)
     return out.select(F.col("id").alias(id_col), F.col("src.source").alias(source_col), "size", "source_size", "target", "taken", "n_shards")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix as documents, with the columns of docs: a row per document and copy, with the words that the copy takes.
+
+    A document drawn whole keeps its text; one drawn in part has those words, a space between. Copy n holds what is drawn
+    at least n times, so a document has at most three (its last block may add one). Documents without words go, as does
+    what isn't drawn. chars_col, if there is one, is set to the new length.
+    """
+    held = write_table(docs.withColumn("__uid", uid()), "mixed")
+    rows, _ = packed(held.select(F.col(id_col), F.col(text_col), F.col(source_col), F.col("__uid").alias("uid")), id_col, text_col, source_col, keep_uid=True)
+    rows = write_table(rows, "packed")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    drawn = block_slots(write_table(source_targets(sizes), "targets"), block, shard_slots).groupBy(F.struct("source", "block_no").alias("at")).agg(F.sort_array(F.collect_list("words"), False).alias("lengths"))
+    span = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
+    pieces = rows.filter("size > 0").select("uid", "source", "start", "size", F.explode(span).alias("block_no"))
+    base = F.col("block_no") * block
+    pieces = pieces.select("uid", "size", F.struct("source", "block_no").alias("at"), F.greatest(base - F.col("start"), F.lit(0)).alias("from"), F.greatest(F.col("start") - base, F.lit(0)).alias("lo"), F.least(F.col("start") + F.col("size") - base, F.lit(block)).alias("hi"))
+    copies = pieces.join(drawn, "at").select("uid", "size", "from", "lo", "hi", F.posexplode("lengths").alias("copy", "length"))
+    copies = copies.withColumn("n", F.least("hi", "length") - F.col("lo")).filter("n > 0")
+    plan = copies.groupBy("uid", "copy").agg(F.sort_array(F.collect_list(F.struct("from", "n"))).alias("ranges"), F.sum("n").alias("words"), F.first("size").alias("size"))
+    words = F.filter(F.split(text_col, SPACE), lambda x: x != "")
+    out = held.join(plan.withColumnsRenamed({c: f"__{c}" for c in ("uid", "copy", "ranges", "words", "size")}).hint("shuffle_hash"), "__uid")
+    text = F.when(F.col("__words") == F.col("__size"), F.col(text_col)).otherwise(F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["n"].cast("int")))), " "))
+    out = out.withColumn(text_col, text)
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return out.select(docs.columns)
