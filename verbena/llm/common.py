@@ -110,26 +110,22 @@ def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str, expected: int) -
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node of its component.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014): every step keeps the number of edges at most, hubs
-    are spread by the grouped minimum's map-side combine, and the number of steps is logarithmic.
+    Alternating large-star and small-star steps (Kiveris et al., 2014): no step adds edges, and the number of steps is
+    logarithmic. A hub's edges are spread over all tasks by join_groups, its minimum by the map-side combine.
     """
     e = write_table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    n = e.count()
     for _ in range(rounds):
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         # large star: every larger neighbour of a hangs on the smallest of a's neighbourhood
-        big = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        big = join_groups(both.filter("b > a"), low, "a", "n", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: the smaller neighbours and a itself hang on the smallest
         low = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = big.join(low, "a")
-        new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m").toDF("a", "b")).filter("a <> b").distinct()
-        new = write_table(new, "edges")
-        # done when it is a forest of stars: no centre is also a leaf, each leaf has one centre
-        leaves = new.select("a").distinct().count()
-        if leaves == new.count() and not new.join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").take(1):
-            e = new
-            break
-        e = new
-    else:
-        raise RuntimeError("components did not settle")
-    return e.toDF("node", "root").union(e.select("b").distinct().select("b", "b"))
+        new = big.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m").toDF("a", "b")).filter("a <> b").distinct()
+        e = write_table(new, "edges")
+        # done when it is a forest of stars: each leaf has one centre and no centre is a leaf
+        n, leaves = e.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
+        if n == leaves and not e.join(e.select(F.col("b").alias("a")), "a", "left_semi").take(1):
+            return e.toDF("node", "root").union(e.select("b").distinct().select("b", "b"))
+    raise RuntimeError("components did not settle")

@@ -159,21 +159,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long"), item_text_col).distinct().orderBy(item_col, item_text_col)
     out = None
     for block in _blocks(items):
         shared = spark.sparkContext.broadcast(Seeds(block))
-        hits = write_table(rows.mapInPandas(_find(shared), "id long, item_id long, places array<int>, base long, window binary"), "hits")
+        hits = write_table(rows.mapInPandas(_find(shared), "id string, item_id long, places array<int>, base long, window binary"), "hits")
         counts = hits.select("item_id", F.explode("places").alias("place")).groupBy("item_id", "place").count()
         # at most the block's seeds, so it may be broadcast
         usual = counts.groupBy("item_id").agg(F.expr("percentile(count, 0.5)").alias("usual"), F.collect_list(F.struct("place", "count")).alias("all"))
         limit = F.col("usual") * RARE_TIMES + RARE_FEW
         rare = usual.select("item_id", F.transform(F.filter("all", lambda x: x["count"] <= limit), lambda x: x["place"]).alias("rare"))
         seeded = hits.join(F.broadcast(rare), "item_id").filter(F.arrays_overlap("places", "rare")).select("id", "item_id", "base", "window")
-        got = seeded.repartition("id", "item_id", "base").mapInPandas(_align(shared, threshold), "id long, item_id long, score double, start_word long, end_word long")
+        got = seeded.repartition("id", "item_id", "base").mapInPandas(_align(shared, threshold), "id string, item_id long, score double, start_word long, end_word long")
         best = got.groupBy("id", "item_id").agg(F.max(F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("b"))
-        part = best.select("id", "item_id", "b.score", (-F.col("b.col2")).alias("start_word"), (-F.col("b.col3")).alias("end_word"))
+        part = best.select(F.col("id").cast("long").alias("id"), "item_id", "b.score", (-F.col("b.col2")).alias("start_word"), (-F.col("b.col3")).alias("end_word"))
         out = part if out is None else out.union(part)
     if out is None:
         out = spark.createDataFrame([], "id long, item_id long, score double, start_word long, end_word long")

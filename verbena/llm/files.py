@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
@@ -56,3 +57,8 @@ def read_file(uri: str) -> bytes:
     store, path = _where(uri)
     with store.open_input_stream(path) as f:
         return f.read()
+
+
+def whole(values: list) -> pd.Series:
+    """Ids that went to Python as strings, as 64-bit integers with nulls: a float column would round large ones."""
+    return pd.Series(pd.array([None if v is None or v != v else int(v) for v in values], dtype="Int64"))

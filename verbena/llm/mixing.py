@@ -95,8 +95,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, source, size, source_size, target, taken, n_shards.
 
     size: words of the text (null: 0). taken: the words that the mix takes from the row, repeats counted; at most three
-    times its size, and per source exactly the rounded target. n_shards: in how many output shards the row's blocks appear. Rows repeated in the input count each for themselves; a
-    null source is a source. Reruns agree. An empty table gives an empty result.
+    times its size, and per source exactly the rounded target. n_shards: in how many output shards the row's blocks appear.
+    Rows repeated in the input count each for themselves; a null source is a source. Reruns agree. An empty table gives an empty result.
     """
     rows, total = packed(docs, id_col, text_col, source_col)
     rows = write_table(rows, "packed")
@@ -111,7 +111,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hi = F.least(F.col("start") + F.col("size") - F.col("block_no") * block, F.lit(block))
     pieces = pieces.select("uid", F.struct("source", "block_no").alias("at"), lo.alias("lo"), hi.alias("hi"))
     taken = F.aggregate("lengths", F.lit(0).cast("long"), lambda t, x: t + F.greatest(F.lit(0).cast("long"), F.least(F.col("hi"), x) - F.col("lo")))
-    got = pieces.join(drawn.select(F.struct("source", "block_no").alias("at"), "lengths"), "at").select("uid", taken.alias("taken")).groupBy("uid").agg(F.sum("taken").alias("taken"))
+    met = pieces.join(drawn.select(F.struct("source", "block_no").alias("at"), "lengths", "shards"), "at").select("uid", taken.alias("taken"), "shards")
+    got = met.groupBy("uid").agg(F.sum("taken").alias("taken"), F.size(F.array_distinct(F.flatten(F.collect_list("shards")))).cast("long").alias("n_shards"))
     out = rows.join(got, "uid", "left").select("id", F.struct("source").alias("src"), "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_shards", F.lit(0)).cast("long").alias("n_shards"))
     stats = targets.select(F.struct("source").alias("src"), "source_size", "target", "n_docs")
     out = join_groups(out, stats, "src", "n_docs", total)

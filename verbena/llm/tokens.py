@@ -203,7 +203,7 @@ def _packed(out: str, tokenizer: str, end_id: int, file_ids: int):
                 for d, got in zip(ids[at:stop], enc.batch(texts[at:stop]), strict=True):
                     held += [got, last]
                     n += len(got) + 1
-                    docs.append(None if pd.isna(d) else int(d))
+                    docs.append(None if d is None or d != d else int(d))
                     ends.append(n)
                     if n >= file_ids:
                         yield close()
@@ -232,7 +232,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, id_col: str = "
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select(F.col("id").cast("string").alias("id"), "text")
     made = write_table(rows.mapInPandas(_packed(out, tokenizer, end_id, file_ids), "task long, seq long, file string, n_docs long, n_ids long"), "manifest")
     before = W.orderBy("task", "seq").rowsBetween(W.unboundedPreceding, -1)
     return made.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_groups, scratch_path, write_table
-from .files import read_file, small_batches, write_file
+from .files import read_file, small_batches, whole, write_file
 
 #: An ARC file is closed at so many records or payload bytes.
 FILE_RECORDS, FILE_BYTES = 2000, 32 << 20
@@ -156,15 +156,16 @@ def _to_arc(out: str):
             version = 1 + (task + seq) % 2  # both versions occur
             name = f"part-{task:06d}-{seq:06d}.arc.gz"
             write_file(f"{out}/{name}", arc_bytes(name, version, held))
-            got = pd.DataFrame(rows, columns=["page_id", "idx", "n_bytes", "digest"]).astype({"page_id": "Int64"})
-            got["file"] = name
+            got = pd.DataFrame([r[1:] for r in rows], columns=["idx", "n_bytes", "digest"])
+            got["page_id"], got["file"] = whole([r[0] for r in rows]), name
+            got = got[["page_id", "idx", "n_bytes", "digest", "file"]]
             seq, held, rows, size = seq + 1, [], [], 0
             return got
 
         for b in batches:
             for page, url, html in zip(b["page_id"].tolist(), b["url"].tolist(), b["html"].tolist(), strict=True):
                 payload = html.encode("utf-8", "surrogatepass")
-                page = None if pd.isna(page) else int(page)
+                page = None if page is None or page != page else int(page)
                 own = f"{ID_HEADER}: {page}\r\n" if page is not None else ""
                 head = f"HTTP/1.1 200 OK\r\n{own}Content-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 clean = _clean_url(url)
@@ -203,13 +204,14 @@ def _from_warc(path: str):
                     if _digest(block) != h["WARC-Block-Digest"]:
                         raise ValueError("a WARC record's block doesn't have its digest")
                     head, _, payload = block.partition(b"\r\n\r\n")
-                    whole = h["WARC-Type"] != "revisit"
-                    if whole and _digest(payload) != h["WARC-Payload-Digest"]:
+                    full = h["WARC-Type"] != "revisit"
+                    if full and _digest(payload) != h["WARC-Payload-Digest"]:
                         raise ValueError("a WARC record's payload doesn't have its digest")
                     page = re.search(rf"^{ID_HEADER}: (-?\d+)\r?$", head.decode("latin-1"), re.MULTILINE)
                     refers = h.get("WARC-X-Refers-To-Page-Id")
-                    rows.append((int(page[1]) if page else None, len(payload) if whole else int(h["WARC-X-Payload-Length"]), base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex(), h["WARC-Type"], int(refers) if refers else None, h["WARC-Record-ID"], h.get("WARC-Refers-To"), h["WARC-Date"]))
-                yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "date"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    rows.append((int(page[1]) if page else None, len(payload) if full else int(h["WARC-X-Payload-Length"]), base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex(), h["WARC-Type"], int(refers) if refers else None, h["WARC-Record-ID"], h.get("WARC-Refers-To"), h["WARC-Date"]))
+                names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "date")
+                yield pd.DataFrame({c: whole(v) if c in ("page_id", "refers_to") else v for c, v in ((c, [r[i] for r in rows]) for i, c in enumerate(names))})
 
     return run
 
@@ -217,7 +219,7 @@ def _from_warc(path: str):
 def pages_to_arc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes pages as ARC files where they are read; returns the manifest (page_id, file, idx, n_bytes, digest)."""
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = pages.select(F.col(id_col).cast("long").cast("string").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     return write_table(rows.mapInPandas(_to_arc(out), "page_id long, idx long, n_bytes long, digest binary, file string"), "arcs")
 
 
