@@ -14,18 +14,20 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, join_groups, rows_with_ids, write_table
-from .files import small_batches
+from .files import small_batches, whole
 from .shingles import U, mix, shingle_sets
 
 #: Shingles (at least 200 a set) of a verification block; two blocks meet in one task.
-BLOCK_WEIGHT, LEAST_WEIGHT = 100_000, 200
+BLOCK_WEIGHT, LEAST_WEIGHT = 300_000, 200
 #: Keys that a task holds before it writes them out.
 FLUSH_KEYS, FLUSH_NODES = 4_000_000, 60_000
-#: What a key costs against a needless candidate, and how often two lone shingles of unlike sets agree.
-PAIR_COST, LONE_SHARE = 4.0, 0.01
+#: What a needless candidate costs against a key, how often two lone shingles of unlike sets agree, and for how many sets
+#: of a band the allocation is made: fixed, so that keys grow as the input.
+PAIR_COST, LONE_SHARE, POPULATION = 4.0, 0.01, 2500
 
 
 @lru_cache(maxsize=None)
@@ -46,11 +48,11 @@ def band_of(n: int, num: int, den: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def allocation(k: int, total: int, num: int, den: int) -> tuple[int, int, int, int]:
+def allocation(k: int, num: int, den: int) -> tuple[int, int, int, int]:
     """(m, n2, H, largest partner) of band k: m segments of which the first n2 also match by one deletion.
 
     m + n2 is over H, with some slack for segments that happen to be empty; of no, half or all segments with deletions the
-    cheapest is taken, by the number of keys and the candidates that small segments bring among the table's sets.
+    cheapest is taken, by the number of keys and the candidates that small segments bring.
     """
     small, least = band_edge(k + 1, num, den) - 1, band_edge(k, num, den)
     large = small * den // num
@@ -66,19 +68,19 @@ def allocation(k: int, total: int, num: int, den: int) -> tuple[int, int, int, i
             m += 1
         each = least / m
         lone = math.exp(-each) * (1 + each) if m > 1 else 0.0
-        cost = m + n2 * each + PAIR_COST * (total / 20) * m * lone**2 * LONE_SHARE * (1 - share / 2)
+        cost = m + n2 * each + PAIR_COST * POPULATION * m * lone**2 * LONE_SHARE * (1 - share / 2)
         if best is None or cost < best[0]:
             best = (cost, m, n2)
     return best[1], best[2], h, large
 
 
-def keys_of(s: np.ndarray, k: int, total: int, num: int, den: int) -> np.ndarray:
+def keys_of(s: np.ndarray, k: int, num: int, den: int) -> np.ndarray:
     """The set's keys in the scheme of band k.
 
     Keys of empty segments are left out, as they would match everywhere. That loses nothing for a set whose other segments
     still outweigh H; a set without that property (few do) gives them too, so two such sets meet there.
     """
-    m, n2, h, _ = allocation(k, total, num, den)
+    m, n2, h, _ = allocation(k, num, den)
     with np.errstate(over="ignore"):
         tag = mix(np.array([k * 0x1F123BB5 + m], U))[0]
         v = mix(s ^ tag)
@@ -103,11 +105,12 @@ def keys_of(s: np.ndarray, k: int, total: int, num: int, den: int) -> np.ndarray
         return np.concatenate(parts)
 
 
-def all_keys(s: np.ndarray, total: int, num: int, den: int) -> np.ndarray:
+def all_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys as the smaller set (or of the same band) and as a partner of the band below."""
     k = band_of(len(s), num, den)
-    parts = [keys_of(s, k, total, num, den)]
-    if k and len(s) <= allocation(k - 1, total, num, den)[3]:
-        parts.append(keys_of(s, k - 1, total, num, den))
+    parts = [keys_of(s, k, num, den)]
+    if k and len(s) <= (band_edge(k, num, den) - 1) * den // num:
+        parts.append(keys_of(s, k - 1, num, den))
     return np.concatenate(parts)
 
 
@@ -128,20 +131,29 @@ def _chunks(b: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
         at = stop
 
 
-def _index(words: int, num: int, den: int, total: int, buckets: int):
-    """Rows of documents (id, n, node) and of keys (bucket, blob): each task and bucket has its keys in one blob."""
-    columns = ["id", "n", "node", "bucket", "blob"]
+def _names(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, texts in _chunks(b):
+                sets = shingle_sets(texts, words)
+                yield pd.DataFrame({"id": whole(ids), "n": [len(s) for s in sets], "node": whole([node_of(s) if len(s) else None for s in sets])})
+
+    return run
+
+
+def _index(words: int, num: int, den: int, buckets: int):
+    """Rows of keys (bucket, blob): of each task and bucket the keys are in one blob."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, int] = {}
-        held: list[tuple[np.ndarray, int]] = []
+        held: list[np.ndarray] = []
         n_keys = 0
 
         def flush() -> pd.DataFrame:
             nonlocal n_keys
             nodes = np.array(list(seen), np.int64)
-            keys = np.concatenate([k for k, _ in held])
-            idx = np.repeat(np.arange(len(held)), [len(k) for k, _ in held])
+            keys = np.concatenate(held)
+            idx = np.repeat(np.arange(len(held)), [len(k) for k in held])
             b = (keys % U(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             keys, idx, b = keys[order] // U(buckets), idx[order], b[order]
@@ -155,21 +167,15 @@ def _index(words: int, num: int, den: int, total: int, buckets: int):
             seen.clear()
             held.clear()
             n_keys = 0
-            return pd.DataFrame({"id": None, "n": None, "node": None, "bucket": [x[0] for x in blobs], "blob": [x[1] for x in blobs]}, columns=columns)
+            return pd.DataFrame(blobs, columns=["bucket", "blob"])
 
         for b in batches:
-            for ids, texts in _chunks(b):
-                rows = []
-                for d, s in zip(ids, shingle_sets(texts, words), strict=True):
-                    node = node_of(s) if len(s) else None
-                    rows.append((None if pd.isna(d) else int(d), len(s), node))
-                    if node is not None and node not in seen:
+            for _, texts in _chunks(b):
+                for s in shingle_sets(texts, words):
+                    if len(s) and (node := node_of(s)) not in seen:
                         seen[node] = len(seen)
-                        held.append((all_keys(s, total, num, den), node))
-                        n_keys += len(held[-1][0])
-                out = pd.DataFrame(rows, columns=columns[:3]).astype({"id": "Int64", "node": "Int64"})
-                out["bucket"], out["blob"] = None, None
-                yield out[columns]
+                        held.append(all_keys(s, num, den))
+                        n_keys += len(held[-1])
                 if n_keys >= FLUSH_KEYS or len(seen) >= FLUSH_NODES:
                     yield flush()
         if held:
@@ -251,17 +257,29 @@ def linked(sets: list[np.ndarray], num: int, den: int, left: np.ndarray, right:
     return out
 
 
+def small_bytes(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each shingle: a pair of sets of thousands has a chance collision once in some hundred millions."""
+    return (s >> U(16)).astype(np.uint32).tobytes() + (s >> U(48)).astype(np.uint16).tobytes()
+
+
+def from_small(b: bytes) -> np.ndarray:
+    n = len(b) // 6
+    return np.frombuffer(b, np.uint32, n).astype(U) | np.frombuffer(b, np.uint16, n, 4 * n).astype(U) << U(32)
+
+
 def _verify(num: int, den: int):
+    """A group holds a small candidate cluster (band -1), or of a large one a block of band ka and one of ka or ka + 1."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
-        for (_, i, j), g in pdf.groupby(["root", "bi", "bj"], sort=False):
+        for (_, ka, i, kb, j), g in pdf.drop_duplicates(["root", "ka", "i", "kb", "j", "node"]).groupby(["root", "ka", "i", "kb", "j"], sort=False):
             if len(g) < 2:
                 continue
-            sets = [np.frombuffer(x, U) for x in g["shingles"]]
-            block, nodes = g["block"].to_numpy(), g["node"].to_numpy()
-            left = np.flatnonzero(block == i)
-            right = left if i == j else np.flatnonzero(block == j)
-            for x, y in linked(sets, num, den, left, right):
+            sets = [from_small(x) for x in g["shingles"]]
+            band, block, nodes = g["band"].to_numpy(), g["block"].to_numpy(), g["node"].to_numpy()
+            left = np.flatnonzero((band == ka) & (block == i))
+            right = left if (ka, i) == (kb, j) else np.flatnonzero((band == kb) & (block == j))
+            for x, y in linked(sets, num, den, left, right) if len(left) and len(right) else ():
                 a.append(nodes[x])
                 b.append(nodes[y])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -269,12 +287,25 @@ def _verify(num: int, den: int):
     return run
 
 
+PLACES = "array<struct<key: long, root: long, ka: int, i: long, kb: int, j: long, band: int, block: long>>"
+PLACED = "node long, shingles binary, key long, root long, ka int, i long, kb int, j long, band int, block long"
+
+
 def _sets_again(words: int):
+    """Each candidate's set, once for every group that it is in."""
+    columns = [x.split()[0] for x in PLACED.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            at = 0
             for _, texts in _chunks(b):
-                sets = [s for s in shingle_sets(texts, words) if len(s)]
-                yield pd.DataFrame({"node": np.array([node_of(s) for s in sets], np.int64), "shingles": [s.tobytes() for s in sets]})
+                rows = []
+                for s, node, places in zip(shingle_sets(texts, words), b["node"].iloc[at : at + len(texts)], b["places"].iloc[at : at + len(texts)], strict=True):
+                    if len(s) and node_of(s) == node:  # a repeated id may have other texts
+                        data = small_bytes(s)
+                        rows += [(node, data, *(p[c] for c in columns[2:])) for p in places]
+                at += len(texts)
+                yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -287,38 +318,58 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     rows are copies; null ids take part but never name a component, and a row without id that links to none has a null
     component. Other columns are not read.
 
-    1. One pass over the texts names the sets and writes their keys. 2. Per bucket of keys: a star of candidate edges, no
-    pairs. 3. Components of candidates; a large one is split into blocks, and each two blocks meet in a task that verifies
-    exactly and returns a spanning forest. 4. Components of verified links. Sets are read again for candidates only.
+    1. One pass over the texts names the sets, one more makes their keys (cheaper than to store either). 2. Per bucket of
+    keys: a star of candidate edges, no pairs. 3. Components of candidates; a large one is split into blocks by size band, and each two of a band or of
+    neighbouring bands meet in a task that verifies exactly and returns a spanning forest. 4. Components of verified links. Sets are read again for candidates only.
     """
     spark = docs.sparkSession
     small_batches(spark)
     total = max(1, docs.count())
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    index = write_table(rows.mapInPandas(_index(words, num, den, total, buckets), "id long, n long, node long, bucket int, blob binary"), "keys")
-    listed = index.filter("bucket is null").select("id", "n", "node")
-    maybe = index.filter("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInPandas(_meet, "a long, b long")
+    listed = write_table(rows.withColumn("id", F.col("id").cast("string")).mapInPandas(_names(words), "id long, n long, node long"), "sets")
+    maybe = rows.mapInPandas(_index(words, num, den, buckets), "bucket int, blob binary").groupBy("bucket").applyInPandas(_meet, "a long, b long")
     maybe = write_table(components(maybe), "candidates")
     nodes = write_table(listed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "nodes")
 
     weight = F.greatest(F.col("n"), F.lit(LEAST_WEIGHT))
     placed = maybe.join(nodes, "node").select("node", "root", "id", "n")
-    clusters = placed.groupBy("root").agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("members"))
-    clusters = write_table(clusters.withColumn("blocks", F.ceil(F.col("weight") / BLOCK_WEIGHT)), "clusters")
-    small = clusters.filter("blocks = 1").agg(F.sum("weight")).first()[0] or 0
-    bins = max(1, -(-small // BLOCK_WEIGHT))
-    placed = join_groups(placed, clusters.select("root", "blocks", "members"), "root", "members", total)
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    placed = placed.withColumn("block", block).select("node", "root", "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "blocks")
-    placed = placed.select("node", "root", "id", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "blocks")
-    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.lit(bins) + F.pmod(F.xxhash64("root", "bi", "bj"), F.lit(1 << 40)))
-    placed = placed.withColumn("key", key)
-
-    texts, _ = rows_with_ids(rows, placed.select("id"), "id", total)
-    sets = texts.mapInPandas(_sets_again(words), "node long, shingles binary")
-    sets = write_table(sets.join(maybe.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    met = placed.join(sets, "node").select("key", "root", "bi", "bj", "block", "node", "shingles")
+    most = nodes.agg(F.max("n")).first()[0] or 1
+    edges = F.array(*(F.lit(band_edge(k, num, den)) for k in range(1, band_of(most, num, den) + 1)))
+    placed = placed.withColumn("band", F.size(F.filter(edges, lambda x: x <= F.col("n"))).cast("int") if most > 1 else F.lit(0))
+    clusters = write_table(placed.groupBy("root").agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("members")), "clusters")
+    placed = write_table(join_groups(placed, clusters, "root", "members", total), "placed")
+    small = placed.filter(F.col("weight") <= BLOCK_WEIGHT)
+    bins = max(1, -(-int(small.agg(F.sum(weight)).first()[0] or 0) // BLOCK_WEIGHT))
+    zero = F.lit(0).cast("long")
+    whole = F.struct(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("key"), "root", F.lit(-1).alias("ka"), zero.alias("i"), F.lit(-1).alias("kb"), zero.alias("j"), F.lit(-1).alias("band"), zero.alias("block"))
+    small = small.select("id", "node", F.array(whole).cast(PLACES).alias("places"))
+
+    # a large cluster: blocks of each band; a block meets those of its own band and of the next
+    large = placed.filter(F.col("weight") > BLOCK_WEIGHT).select("id", "node", "n", "band", F.struct("root", "band").alias("at"))
+    parts = large.groupBy("at").agg(F.ceil(F.sum(weight) / BLOCK_WEIGHT).alias("blocks"), F.count(F.lit(1)).alias("members"))
+    by_root = W.partitionBy("at.root").orderBy("at.band")
+    beside = lambda f, step: F.when(f(F.col("at.band")).over(by_root) == F.col("at.band") + step, f(F.col("blocks")).over(by_root))
+    parts = parts.select("at", "blocks", "members", F.coalesce(beside(F.lag, -1), zero).alias("below"), F.coalesce(beside(F.lead, 1), zero).alias("above"))
+    large = join_groups(large, parts, "at", "members", total).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+    def place(ka: F.Column, i: F.Column, kb: F.Column, j: F.Column) -> F.Column:
+        root = F.col("at.root")
+        key = F.lit(bins) + F.pmod(F.xxhash64(root, ka, i, kb, j), F.lit(1 << 40))
+        return F.struct(key.alias("key"), root.alias("root"), ka.alias("ka"), i.alias("i"), kb.alias("kb"), j.alias("j"), F.col("band").alias("band"), F.col("block").alias("block"))
+
+    def upto(n: str) -> F.Column:
+        return F.when(F.col(n) > 0, F.sequence(zero, F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
+
+    band, block = F.col("band"), F.col("block")
+    own = F.transform(upto("blocks"), lambda x: place(band, F.least(block, x), band, F.greatest(block, x)))
+    up = F.transform(upto("above"), lambda x: place(band, block, band + 1, x))
+    down = F.transform(upto("below"), lambda x: place(band - 1, x, band, block))
+    large = large.select("id", "node", F.concat(own, up, down).cast(PLACES).alias("places"))
+    places = write_table(small.union(large), "places")
+
+    texts, _ = rows_with_ids(rows, places.select("id"), "id", total)
+    met = texts.join(places.hint("shuffle_hash"), "id").select("id", "text", "node", "places").mapInPandas(_sets_again(words), PLACED)
     links = met.groupBy("key").applyInPandas(_verify(num, den), "a long, b long")
     parts = components(links)
 
