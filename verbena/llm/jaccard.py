@@ -2,7 +2,8 @@
 
 The universe of shingles is hashed into m segments. Two sets with a symmetric difference of at most H agree in one of
 m > H segments, or, where a segment is also matched through one-element deletions (worth two), already with fewer segments.
-Keys depend on the size band of the smaller set alone, so both partners know them.
+Keys depend on the size band of the smaller set alone, so both partners know them. Sets that share a key are screened by
+parity bitmaps, of a bit or two a shingle: two bitmaps never differ in more places than their sets, so no link is lost.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from .shingles import U, mix, shingle_sets
 
 #: Shingles (at least 200 a set) of a verification block; two blocks meet in one task.
 BLOCK_WEIGHT, LEAST_WEIGHT = 300_000, 200
+#: The same for the bitmaps, in bits, and comparisons of a tile.
+SCREEN_WEIGHT, LEAST_BITS, TILE = 8_000_000, 256, 500_000
 #: Keys that a task holds before it writes them out.
 FLUSH_KEYS, FLUSH_NODES = 4_000_000, 60_000
-#: What a needless candidate costs against a key, how often two lone shingles of unlike sets agree, and for how many sets
+#: What a needless candidate (a comparison of bitmaps) costs against a key, how often two lone shingles of unlike sets agree, and for how many sets
 #: of a band the allocation is made: fixed, so that keys grow as the input.
-PAIR_COST, LONE_SHARE, POPULATION = 4.0, 0.01, 2500
+PAIR_COST, LONE_SHARE, POPULATION = 0.1, 0.01, 2500
 
 
 @lru_cache(maxsize=None)
@@ -120,6 +123,61 @@ def node_of(s: np.ndarray) -> int:
         return int(mix(mix(s).sum(dtype=U, keepdims=True) + U(len(s)) * U(0x8EBC6AF09C88C6E3)).view(np.int64)[0])
 
 
+def bitmap_width(k: int, num: int, den: int) -> int:
+    """Bits of the bitmap of a set of band k: a power of two, so that a wider bitmap folds to a narrower one."""
+    return max(64, 1 << (band_edge(k + 1, num, den) - 2).bit_length())
+
+
+def bitmap(s: np.ndarray, num: int, den: int) -> bytes:
+    """Of each place the parity of the shingles there."""
+    width = bitmap_width(band_of(len(s), num, den), num, den)
+    odd = np.bincount((s & U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Forest:
+    """Components of rows in one task; keeps the edges that joined two of them."""
+
+    def __init__(self, n: int) -> None:
+        self.label, self.edges = np.arange(n), []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        labels, at = np.unique(self.label[others], return_index=True)
+        new = labels != self.label[i]
+        if new.any():
+            self.edges += [(i, j) for j in others[at[new]].tolist()]
+            self.label[np.isin(self.label, labels[new])] = self.label[i]
+
+
+def screen(n: np.ndarray, bits: list[bytes], width: int, left: np.ndarray, right: np.ndarray, num: int, den: int, forest: Forest) -> None:
+    """Joins the rows i of left and j of right whose bitmaps, folded to width, allow a link."""
+    same = left is right
+    left = left[np.argsort(n[left], kind="stable")]
+    right = left if same else right[np.argsort(n[right], kind="stable")]
+
+    def folded(rows: np.ndarray) -> np.ndarray:
+        return np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[i], U).reshape(-1, width // 64), axis=0) for i in rows.tolist()])
+
+    x = folded(left)
+    y = np.ascontiguousarray((x if same else folded(right)).T)
+    n_left, n_right, a = n[left], n[right], 0
+    step = max(1, TILE // len(right))
+    while a < len(left):
+        b = min(len(left), a + step)
+        c, d = np.searchsorted(n_right, -(-n_left[a] * num // den)), np.searchsorted(n_right, n_left[b - 1] * den // num, "right")
+        c = max(c, a) if same else c
+        if c < d:
+            differ = np.zeros((b - a, d - c), np.uint16 if width < 1 << 16 else np.uint32)
+            for w in range(width // 64):
+                differ += np.bitwise_count(x[a:b, w, None] ^ y[w, None, c:d])
+            both = n_left[a:b, None] + n_right[None, c:d]
+            most = both + 2 * (-num * both // (num + den))
+            hits = np.maximum(differ, np.abs(n_left[a:b, None] - n_right[None, c:d])) <= most
+            for r in np.flatnonzero(hits.any(1)).tolist():
+                forest.join(int(left[a + r]), right[c:d][hits[r]])
+        a = b
+
+
 def _chunks(b: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
     ids, texts, at = b["id"].tolist(), b["text"].tolist(), 0
     while at < len(texts):
@@ -131,12 +189,12 @@ def _chunks(b: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
         at = stop
 
 
-def _names(words: int):
+def _names(words: int, num: int, den: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for ids, texts in _chunks(b):
                 sets = shingle_sets(texts, words)
-                yield pd.DataFrame({"id": whole(ids), "n": [len(s) for s in sets], "node": whole([node_of(s) if len(s) else None for s in sets])})
+                yield pd.DataFrame({"id": whole(ids), "n": [len(s) for s in sets], "node": whole([node_of(s) if len(s) else None for s in sets]), "bits": [bitmap(s, num, den) if len(s) else None for s in sets]})
 
     return run
 
@@ -241,20 +299,11 @@ def linked(sets: list[np.ndarray], num: int, den: int, left: np.ndarray, right:
     shared = np.rint(common).astype(np.int64)
     joint = sizes[left][:, None] + sizes[right][None, :] - shared
     hit_l, hit_r = np.nonzero((den * shared >= num * joint) & (shared > 0))
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    for i, j in zip(left[hit_l].tolist(), right[hit_r].tolist(), strict=True):
-        if i != j and (a := find(i)) != (b := find(j)):
-            root[a] = b
-            out.append((i, j))
-    return out
+    forest = Forest(len(sets))
+    rows, first = np.unique(hit_l, return_index=True)
+    for r, own in zip(rows.tolist(), np.split(hit_r, first[1:])[: len(rows)], strict=True):
+        forest.join(int(left[r]), right[own])
+    return forest.edges
 
 
 def small_bytes(s: np.ndarray) -> bytes:
@@ -287,6 +336,34 @@ def _verify(num: int, den: int):
     return run
 
 
+def _screen(num: int, den: int):
+    """As _verify, by bitmaps: the pairs that may link, as a spanning forest."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for (_, ka, i, kb, j), g in pdf.groupby(["root", "ka", "i", "kb", "j"], sort=False):
+            if len(g) < 2:
+                continue
+            n, nodes, bits = g["n"].to_numpy(), g["node"].to_numpy(), g["bits"].tolist()
+            bands = np.array([band_of(x, num, den) for x in n.tolist()])
+            block = g["block"].to_numpy()
+            forest = Forest(len(g))
+            if ka < 0:
+                pairs = [(k, bands == k, x, bands == x) for k in np.unique(bands).tolist() for x in (k, k + 1)]
+            else:
+                pairs = [(ka, (bands == ka) & (block == i), kb, (bands == kb) & (block == j))]
+            for k, is_left, x, is_right in pairs:
+                left = np.flatnonzero(is_left)
+                right = left if k == x and (ka < 0 or i == j) else np.flatnonzero(is_right)
+                if len(left) and len(right):
+                    screen(n, bits, bitmap_width(k, num, den), left, right, num, den, forest)
+            a += [nodes[x] for x, _ in forest.edges]
+            b += [nodes[x] for _, x in forest.edges]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
 PLACES = "array<struct<key: long, root: long, ka: int, i: long, kb: int, j: long, band: int, block: long>>"
 PLACED = "node long, shingles binary, key long, root long, ka int, i long, kb int, j long, band int, block long"
 
@@ -310,44 +387,24 @@ def _sets_again(words: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links, itself included).
-
-    Two documents link when their sets of distinct word shingles have a Jaccard similarity of num / den or more; every link
-    counts, none is sampled or capped. Null texts and texts without words have no shingles and link with nothing; repeated
-    rows are copies; null ids take part but never name a component, and a row without id that links to none has a null
-    component. Other columns are not read.
+def meetings(nodes: DataFrame, weight: F.Column, limit: int, total: int) -> DataFrame:
+    """The rows (node, root, n, band and others) with the places, each a group of one task, where they meet the others of their root.
 
-    1. One pass over the texts names the sets, one more makes their keys (cheaper than to store either). 2. Per bucket of
-    keys: a star of candidate edges, no pairs. 3. Components of candidates; a large one is split into blocks by size band, and each two of a band or of
-    neighbouring bands meet in a task that verifies exactly and returns a spanning forest. 4. Components of verified links. Sets are read again for candidates only.
+    A root up to the limit is one group. A larger one is cut into blocks of each band, and a block meets those of its own band
+    and of the next.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    total = max(1, docs.count())
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    listed = write_table(rows.withColumn("id", F.col("id").cast("string")).mapInPandas(_names(words), "id long, n long, node long"), "sets")
-    maybe = rows.mapInPandas(_index(words, num, den, buckets), "bucket int, blob binary").groupBy("bucket").applyInPandas(_meet, "a long, b long")
-    maybe = write_table(components(maybe), "candidates")
-    nodes = write_table(listed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "nodes")
-
-    weight = F.greatest(F.col("n"), F.lit(LEAST_WEIGHT))
-    placed = maybe.join(nodes, "node").select("node", "root", "id", "n")
-    most = nodes.agg(F.max("n")).first()[0] or 1
-    edges = F.array(*(F.lit(band_edge(k, num, den)) for k in range(1, band_of(most, num, den) + 1)))
-    placed = placed.withColumn("band", F.size(F.filter(edges, lambda x: x <= F.col("n"))).cast("int") if most > 1 else F.lit(0))
-    clusters = write_table(placed.groupBy("root").agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("members")), "clusters")
-    placed = write_table(join_groups(placed, clusters, "root", "members", total), "placed")
-    small = placed.filter(F.col("weight") <= BLOCK_WEIGHT)
-    bins = max(1, -(-int(small.agg(F.sum(weight)).first()[0] or 0) // BLOCK_WEIGHT))
+    rest = [c for c in nodes.columns if c not in ("root", "band")]
     zero = F.lit(0).cast("long")
-    whole = F.struct(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("key"), "root", F.lit(-1).alias("ka"), zero.alias("i"), F.lit(-1).alias("kb"), zero.alias("j"), F.lit(-1).alias("band"), zero.alias("block"))
-    small = small.select("id", "node", F.array(whole).cast(PLACES).alias("places"))
-
-    # a large cluster: blocks of each band; a block meets those of its own band and of the next
-    large = placed.filter(F.col("weight") > BLOCK_WEIGHT).select("id", "node", "n", "band", F.struct("root", "band").alias("at"))
-    parts = large.groupBy("at").agg(F.ceil(F.sum(weight) / BLOCK_WEIGHT).alias("blocks"), F.count(F.lit(1)).alias("members"))
+    clusters = write_table(nodes.groupBy("root").agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("members")), "clusters")
+    placed = write_table(join_groups(nodes, clusters, "root", "members", total), "placed")
+    small = placed.filter(F.col("weight") <= limit)
+    bins = max(1, -(-int(clusters.filter(F.col("weight") <= limit).agg(F.sum("weight")).first()[0] or 0) // limit))
+    bins = max(bins, 2 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    alone = F.struct(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("key"), "root", F.lit(-1).alias("ka"), zero.alias("i"), F.lit(-1).alias("kb"), zero.alias("j"), F.lit(-1).alias("band"), zero.alias("block"))
+    small = small.select(*rest, F.array(alone).cast(PLACES).alias("places"))
+
+    large = placed.filter(F.col("weight") > limit).select(*rest, "band", F.struct("root", "band").alias("at"))
+    parts = large.groupBy("at").agg(F.ceil(F.sum(weight) / limit).alias("blocks"), F.count(F.lit(1)).alias("members"))
     by_root = W.partitionBy("at.root").orderBy("at.band")
     beside = lambda f, step: F.when(f(F.col("at.band")).over(by_root) == F.col("at.band") + step, f(F.col("blocks")).over(by_root))
     parts = parts.select("at", "blocks", "members", F.coalesce(beside(F.lag, -1), zero).alias("below"), F.coalesce(beside(F.lead, 1), zero).alias("above"))
@@ -365,8 +422,40 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     own = F.transform(upto("blocks"), lambda x: place(band, F.least(block, x), band, F.greatest(block, x)))
     up = F.transform(upto("above"), lambda x: place(band, block, band + 1, x))
     down = F.transform(upto("below"), lambda x: place(band - 1, x, band, block))
-    large = large.select("id", "node", F.concat(own, up, down).cast(PLACES).alias("places"))
-    places = write_table(small.union(large), "places")
+    large = large.select(*rest, F.concat(own, up, down).cast(PLACES).alias("places"))
+    return small.unionByName(large)
+
+
+def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links, itself included).
+
+    Two documents link when their sets of distinct word shingles have a Jaccard similarity of num / den or more; every link
+    counts, none is sampled or capped. Null texts and texts without words have no shingles and link with nothing; repeated
+    rows are copies; null ids take part but never name a component, and a row without id that links to none has a null
+    component. Other columns are not read.
+
+    1. One pass over the texts names the sets, one more makes their keys (cheaper than to store either). 2. Per bucket of
+    keys: a star of candidate edges, no pairs. 3. Components of candidates; in each the bitmaps are compared (`meetings`), which
+    leaves the components of pairs that may link. 4. In these the sets, read again, are verified exactly, each task
+    returning a spanning forest. 5. Components of verified links.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    total = max(1, docs.count())
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    listed = write_table(rows.withColumn("id", F.col("id").cast("string")).mapInPandas(_names(words, num, den), "id long, n long, node long, bits binary"), "sets")
+    maybe = rows.mapInPandas(_index(words, num, den, buckets), "bucket int, blob binary").groupBy("bucket").applyInPandas(_meet, "a long, b long")
+    maybe = write_table(components(maybe), "candidates")
+    nodes = write_table(listed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits")), "nodes")
+
+    most = nodes.agg(F.max("n")).first()[0] or 1
+    edges = F.array(*(F.lit(band_edge(k, num, den)) for k in range(1, band_of(most, num, den) + 1)))
+    nodes_in_bands = nodes.withColumn("band", F.size(F.filter(edges, lambda x: x <= F.col("n"))).cast("int") if most > 1 else F.lit(0))
+    first = meetings(maybe.join(nodes_in_bands, "node").select("node", "root", "n", "bits", "band"), F.greatest("n", F.lit(LEAST_BITS)), SCREEN_WEIGHT, total)
+    first = first.select("node", "n", "bits", F.explode("places").alias("p")).select("node", "n", "bits", "p.*")
+    likely = write_table(components(first.groupBy("key").applyInPandas(_screen(num, den), "a long, b long")), "likely")
+    places = write_table(meetings(likely.join(nodes_in_bands, "node").select("node", "root", "n", "id", "band"), F.greatest("n", F.lit(LEAST_WEIGHT)), BLOCK_WEIGHT, total).select("id", "node", "places"), "places")
 
     texts, _ = rows_with_ids(rows, places.select("id"), "id", total)
     met = texts.join(places.hint("shuffle_hash"), "id").select("id", "text", "node", "places").mapInPandas(_sets_again(words), PLACED)
@@ -376,7 +465,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     least = parts.join(nodes, "node").groupBy("root").agg(F.min("id").alias("least"))
     named = parts.join(least, "root").select("node", "least")
     names = nodes.join(named, "node", "left").select("node", F.coalesce("least", "id").alias("component_id"), "copies")
-    out = join_groups(listed, names, "node", "copies", total)
+    out = join_groups(listed.drop("bits"), names, "node", "copies", total)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
