@@ -442,7 +442,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     spark = docs.sparkSession
     small_batches(spark)
     total = max(1, docs.count())
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     listed = write_table(rows.withColumn("id", F.col("id").cast("string")).mapInPandas(_names(words, num, den), "id long, n long, node long, bits binary"), "sets")
     maybe = rows.mapInPandas(_index(words, num, den, buckets), "bucket int, blob binary").groupBy("bucket").applyInPandas(_meet, "a long, b long")
