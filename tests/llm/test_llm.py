@@ -93,6 +93,7 @@ def _classes(docs, k, num, den):
 @pytest.mark.parametrize("weight", [300_000, 400])
 def test_jaccard_is_exact(spark, odd, none, monkeypatch, weight):
     monkeypatch.setattr(jaccard, "BLOCK_WEIGHT", weight)
+    monkeypatch.setattr(jaccard, "SCREEN_WEIGHT", 10 * weight)
     rng = np.random.default_rng(3)
     docs = []
     for size in (1, 2, 5, 9, 14, 30, 60, 120):
@@ -124,6 +125,36 @@ def test_pigeonhole_keys_meet():
                 assert set(jaccard.all_keys(np.sort(a), 85, 100).tolist()) & set(jaccard.all_keys(np.sort(b), 85, 100).tolist())
 
 
+@pytest.mark.parametrize("tile", [7, 500_000])
+def test_bitmaps_lose_no_link(monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng = np.random.default_rng(7)
+    sets = []
+    for size in (1, 2, 6, 11, 40, 90, 300, 1500):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        for _ in range(8):
+            new = rng.integers(0, 2**63, int(rng.integers(0, size // 5 + 1))).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([base[int(rng.integers(0, size // 6 + 1)) :], new])))
+    n = np.array([len(s) for s in sets])
+    bits, bands = [jaccard.bitmap(s, 80, 100) for s in sets], np.array([jaccard.band_of(x, 80, 100) for x in n.tolist()])
+    forest = jaccard.Forest(len(sets))
+    for k in np.unique(bands).tolist():
+        own, above = np.flatnonzero(bands == k), np.flatnonzero(bands == k + 1)
+        for right in (own, above):
+            if len(right):
+                jaccard.screen(n, bits, jaccard.bitmap_width(k, 80, 100), own, right, 80, 100, forest)
+    met = links = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            common = len(np.intersect1d(a, b))
+            same = forest.label[i] == forest.label[j]
+            met += same
+            if 100 * common >= 80 * (len(a) + len(b) - common):
+                links += 1
+                assert same
+    assert 0 < links <= met < len(sets) * (len(sets) - 1) // 4  # and unlike sets stay apart
+
+
 def test_decontamination(spark, odd, none):
     item = "the quick brown fox jumps over one lazy dog while seventeen green parrots watch from tall old trees"
     edited = item.replace("lazy", "sleepy").replace("green", "blue").replace("tall ", "")
