@@ -431,8 +431,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     Two documents link when their sets of distinct word shingles have a Jaccard similarity of num / den or more; every link
     counts, none is sampled or capped. Null texts and texts without words have no shingles and link with nothing; repeated
-    rows are copies; null ids take part but never name a component, and a row without id that links to none has a null
-    component. Other columns are not read.
+    rows are copies. A row without id shares the component of rows with an equal set; a set that only rows without id have is
+    not verified, so it links with nothing and its component is null. Other columns are not read.
 
     1. One pass over the texts names the sets, one more makes their keys (cheaper than to store either). 2. Per bucket of
     keys: a star of candidate edges, no pairs. 3. Components of candidates; in each the bitmaps are compared (`meetings`), which
