@@ -166,6 +166,15 @@ def test_decontamination(spark, odd, none):
     assert decontam.decontaminate(odd, bench.limit(0)).count() == 0 and decontam.decontaminate(none, bench).count() == 0
 
 
+def test_a_hot_edited_group_beside_a_verbatim_copy(spark):
+    words = [f"word{i}" for i in range(40)]
+    edited = " ".join("changed" if i % 6 == 5 else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(i, f"intro{i} {edited} outro{i}") for i in range(60)] + [(60, " ".join(words)), (61, " ".join(words[:6]) + " other text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (r.score, r.start_word, r.end_word) for r in decontam.decontaminate(docs, bench).collect()}
+    assert got == {i: (0.775, 1, 41) for i in range(60)} | {60: (1.0, 0, 40)}
+
+
 def test_align_against_plain_matrix():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find places, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find places, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -16,8 +16,8 @@ from .files import small_batches
 SEED_WORDS = 5
 #: Words of benchmark items that are looked up at once; more items take more passes over the texts.
 BLOCK_WORDS = 2_000_000
-#: A seed is rare if no more places have it than so many times its item's median seed, and a few.
-RARE_TIMES, RARE_FEW = 8, 20
+#: A task remembers so many alignments, so that copies are aligned once; then it starts anew.
+REMEMBERED = 20_000
 #: Least alignment score as a share of a perfect one.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -95,17 +95,19 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return best[0] / (MATCH * n), best[1], best[2]
 
 
-def _find(shared):
+def _find(shared, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds: Seeds = shared.value
         number = seeds.vocab.get
+        aligned: dict[tuple[int, bytes], tuple[float, int, int]] = {}
         for b in batches:
             rows = []
             for doc, text in zip(b["id"].tolist(), b["text"].tolist(), strict=True):
                 words = tokens(text)
                 ids = np.fromiter((number(w, 0) for w in words), np.int32, len(words))
                 for item, found in seeds.hits(ids).items():
-                    size, found = len(seeds.items[item]), sorted(found, key=lambda x: x[0] - x[1])
+                    own = seeds.items[item]
+                    size, found = len(own), sorted(found, key=lambda x: x[0] - x[1])
                     regions: list[list[tuple[int, int]]] = []
                     for i, place in found:  # seeds of one place have nearly the same offset
                         if regions and i - place - (regions[-1][-1][0] - regions[-1][-1][1]) <= size // 2 + 4:
@@ -115,21 +117,18 @@ def _find(shared):
                     for r in regions:
                         lo = max(0, min(i - p for i, p in r) - size // 2 - 4)
                         hi = min(len(ids), max(i - p for i, p in r) + size + size // 2 + 4)
-                        rows.append((doc, item, sorted({p for _, p in r}), lo, ids[lo:hi].tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "item_id", "places", "base", "window"])
-
-    return run
-
-
-def _align(shared, threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = shared.value.items
-        for b in batches:
-            rows = []
-            for doc, item, base, window in zip(b["id"], b["item_id"], b["base"], b["window"], strict=True):
-                score, start, end = align(items[item], np.frombuffer(window, np.int32))
-                if score >= threshold:
-                    rows.append((doc, item, score, base + start, base + end))
+                        window = ids[lo:hi]
+                        # an alignment matches no more words than the window has of the item, so this loses nothing
+                        if np.isin(own, window).sum() / size < threshold:
+                            continue
+                        key = (item, window.tobytes())
+                        if key not in aligned:
+                            if len(aligned) >= REMEMBERED:
+                                aligned.clear()
+                            aligned[key] = align(own, window)
+                        score, start, end = aligned[key]
+                        if score >= threshold:
+                            rows.append((doc, item, score, lo + start, lo + end))
             yield pd.DataFrame(rows, columns=["id", "item_id", "score", "start_word", "end_word"])
 
     return run
@@ -151,11 +150,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Contaminated documents: rows (id, item_id, score, start_word, end_word), the best place of each pair.
 
     Words are runs of letters and digits, lower-cased. Seeds are the items' n-grams of five words (of shorter items, the
-    whole item). Their counts are taken over all texts; a seed that stands in far more places than its item's others is a
-    common phrase and starts no alignment. An edited copy with one intact rare seed is aligned, and reported when its
-    score reaches the threshold. Null texts and items without words match nothing; null ids pass through; repeated items
+    whole item). An edited copy with one intact seed is aligned, however many texts have the seed, unless its words show
+    that the threshold can't be met, and reported when its score reaches the threshold. Null texts and items without words match nothing; null ids pass through; repeated items
     and rows match each for itself. The benchmark goes through in blocks of bounded size, each broadcast; the
-    documents are read once a block and never shuffle, only their hits do.
+    documents are read once a block and never shuffle, only what was found does.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -164,14 +162,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for block in _blocks(items):
         shared = spark.sparkContext.broadcast(Seeds(block))
-        hits = write_table(rows.mapInPandas(_find(shared), "id string, item_id long, places array<int>, base long, window binary"), "hits")
-        counts = hits.select("item_id", F.explode("places").alias("place")).groupBy("item_id", "place").count()
-        # at most the block's seeds, so it may be broadcast
-        usual = counts.groupBy("item_id").agg(F.expr("percentile(count, 0.5)").alias("usual"), F.collect_list(F.struct("place", "count")).alias("all"))
-        limit = F.col("usual") * RARE_TIMES + RARE_FEW
-        rare = usual.select("item_id", F.transform(F.filter("all", lambda x: x["count"] <= limit), lambda x: x["place"]).alias("rare"))
-        seeded = hits.join(F.broadcast(rare), "item_id").filter(F.arrays_overlap("places", "rare")).select("id", "item_id", "base", "window")
-        got = seeded.repartition("id", "item_id", "base").mapInPandas(_align(shared, threshold), "id string, item_id long, score double, start_word long, end_word long")
+        got = write_table(rows.mapInPandas(_find(shared, threshold), "id string, item_id long, score double, start_word long, end_word long"), "hits")
         best = got.groupBy("id", "item_id").agg(F.max(F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("b"))
         part = best.select(F.col("id").cast("long").alias("id"), "item_id", "b.score", (-F.col("b.col2")).alias("start_word"), (-F.col("b.col3")).alias("end_word"))
         out = part if out is None else out.union(part)
