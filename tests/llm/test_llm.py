@@ -68,6 +68,15 @@ def test_secrets(odd, none):
     assert secrets.secret_scan(odd).first().base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_are_taken_whole():
+    rng = np.random.default_rng(2)
+    long = "".join(rng.choice(list("abcdefghijABCDEFGHIJ0123456789-_"), 303))
+    assert ("guess", 22, 325) in secrets.scan("Authorization: Bearer " + long)
+    padded = "pwd: " + "x1" * 40 + "kXqWzRtPvLmNbYwT"
+    assert secrets.scan(padded) == [("guess", 5, len(padded))] and secrets.scan("pwd: " + "x1" * 4000) == []
+    assert secrets.guesses("x1" * 40 + "kXqW9")[0] > secrets.guesses("x1" * 40)[0]
+
+
 def _classes(docs, k, num, den):
     sets = {}
     for d, t in docs:

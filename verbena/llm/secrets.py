@@ -18,13 +18,11 @@ _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: What makes the rest of a line's next token a credential's value.
-_CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth|bearer|private[_-]?key)["']?[\x20\t]*(?:[:=]|=>|\bis\b)?[\x20\t]*["']?([^\s"',;<>|]{6,200})""", re.ASCII)
+_CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth|bearer|private[_-]?key)["']?[\x20\t]*(?:[:=]|=>|\bis\b)?[\x20\t]*["']?([^\s"',;<>|]{6,})""", re.ASCII)
 #: A cheap test for texts that hold neither kind of context.
 _ANY = re.compile(r"pass|pwd|secret|token|api|cred|auth|bearer|private|AKIA|[0-9a-f]{24}", re.IGNORECASE | re.ASCII)
 #: log10 of the guesses from which a value is taken for a machine-made secret.
 THRESHOLD = 11.0
-#: The dynamic program looks at so many characters of a value; a longer one costs no less.
-_MOST = 64
 
 # Common words of passwords and placeholders by rank, keyboard rows.
 _WORDS = "password secret token admin user login welcome changeme example test default letmein qwerty dragon master monkey shadow love hello sunshine princess football baseball superman batman summer winter spring autumn company server database public private access account system your here none null true false value string enter this that the and for with not".split()
@@ -47,49 +45,71 @@ def _alphabet(s: str) -> int:
     return max(10, 10 * bool(re.search(r"\d", s)) + 26 * bool(re.search("[a-z]", s)) + 26 * bool(re.search("[A-Z]", s)) + 33 * bool(re.search("[^A-Za-z0-9]", s)))
 
 
-def guesses(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def guesses(value: str, enough: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses of the cheapest segmentation, and the segments (kind, start, end).
 
     best[j] is the least cost of the first j characters: a segment i..j is a word (its rank; more for capitals and
     look-alike digits), a date (days of 130 years), a repeat of a unit (the unit's cost times the count), a keyboard walk
     (keys * turns) or brute force (alphabet ** length). Each further segment costs a factor of 2, so that cheap
-    pieces aren't free to combine. An empty value costs 0.
+    pieces aren't free to combine. An empty value costs 0. Once no segmentation can cost less than ``enough``, the least
+    cost so far is returned, for the part looked at. Repeats and walks start only near the beginning of a run: later in
+    it the one that goes on is cheaper. So the time is linear in the length.
     """
-    s = value[:_MOST]
+    s = value
     low = s.lower()
     leet = low.translate(_LEET)
     n, size = len(s), math.log10(_alphabet(s))
-    found: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
+    best: list[tuple[float, int, str]] = [(0.0, 0, "")]
+    ahead: dict[int, tuple[float, int, str]] = {}
+    same, keys, steps = [0] * 9, 0, 0  # how far back the runs at i go: of each unit, of neighbouring keys, of characters in sequence
+
+    def put(j: int, cost: float, kind: str) -> None:
+        new = (best[i][0] + cost + 0.3 * (i > 0), i, kind)
+        if j not in ahead or new < ahead[j]:
+            ahead[j] = new
+
     for i in range(n):
+        if i:
+            # a brute-force span that goes on with one costs no further segment
+            brute = (best[i - 1][0] + size + 0.3 * (best[i - 1][2] not in ("", "brute")), i - 1, "brute")
+            best.append(min(ahead.pop(i, brute), brute))
+            if i % 16 == 0 and best[i][0] >= enough and min((x[0] for x in ahead.values()), default=enough) >= enough:
+                n = i
+                break
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             for form, extra in ((low, 0.0), (leet, 0.6)):
                 if rank := _RANK.get(form[i:j]):
-                    found[j].append((i, math.log10(rank + 1) + extra + 0.3 * (s[i:j] != low[i:j]), "word"))
+                    put(j, math.log10(rank + 1) + extra + 0.3 * (s[i:j] != low[i:j]), "word")
         if m := _DATE.match(s, i):
-            found[m.end()].append((i, math.log10(130 * 365 if m.end() - i > 4 else 130), "date"))
-        j = i + 1
-        while j < n and low[j] in _NEXT.get(low[j - 1], ()):
-            j += 1
-            if j - i >= 4:
-                turns = sum(ord(low[k + 1]) - ord(low[k]) != ord(low[k]) - ord(low[k - 1]) for k in range(i + 1, j - 1))
-                found[j].append((i, math.log10(47 * (j - i)) + 0.3 * turns, "walk"))
-        j = i + 1
-        while j < n and abs(ord(s[j]) - ord(s[j - 1])) == 1 and (j < i + 2 or ord(s[j]) - ord(s[j - 1]) == ord(s[i + 1]) - ord(s[i])):
-            j += 1
-            if j - i >= 4:
-                found[j].append((i, math.log10(40 * (j - i)), "walk"))
+            put(m.end(), math.log10(130 * 365 if m.end() - i > 4 else 130), "date")
+        keys = keys + 1 if i and low[i] in _NEXT.get(low[i - 1], ()) else 0
+        if keys <= _LONGEST:
+            j, turns = i + 1, 0
+            while j < n and low[j] in _NEXT.get(low[j - 1], ()):
+                turns += j > i + 1 and ord(low[j]) - ord(low[j - 1]) != ord(low[j - 1]) - ord(low[j - 2])
+                j += 1
+                if j - i >= 4:
+                    put(j, math.log10(47 * (j - i)) + 0.3 * turns, "walk")
+        steps = steps + 1 if i and abs(ord(s[i]) - ord(s[i - 1])) == 1 and (i < 2 or steps == 0 or ord(s[i]) - ord(s[i - 1]) == ord(s[i - 1]) - ord(s[i - 2])) else 0
+        if steps <= _LONGEST:
+            j = i + 1
+            while j < n and abs(ord(s[j]) - ord(s[j - 1])) == 1 and (j < i + 2 or ord(s[j]) - ord(s[j - 1]) == ord(s[i + 1]) - ord(s[i])):
+                j += 1
+                if j - i >= 4:
+                    put(j, math.log10(40 * (j - i)), "walk")
         for unit in range(1, min(8, (n - i) // 2) + 1):
+            same[unit] = same[unit] + 1 if i and s[i - 1] == s[i - 1 + unit] else 0
+            if same[unit] > unit + _LONGEST:
+                continue
             j = i + unit
             while j + unit <= n and s[j : j + unit] == s[i : i + unit]:
                 j += unit
             if (j - i) // unit >= (3 if unit == 1 else 2):
-                found[j].append((i, unit * size + math.log10((j - i) // unit), "repeat"))
-    best: list[tuple[float, int, str]] = [(0.0, 0, "")]
-    for j in range(1, n + 1):
-        options = [(best[i][0] + cost + 0.3 * (i > 0), i, kind) for i, cost, kind in found[j]]
-        # a brute-force span that goes on with one costs no further segment
-        options += [(best[j - 1][0] + size + 0.3 * (best[j - 1][2] not in ("", "brute")), j - 1, "brute")]
-        best.append(min(options))
+                put(j, unit * size + math.log10((j - i) // unit), "repeat")
+    else:
+        if n:
+            brute = (best[n - 1][0] + size + 0.3 * (best[n - 1][2] not in ("", "brute")), n - 1, "brute")
+            best.append(min(ahead.pop(n, brute), brute))
     segments, j = [], n
     while j:
         i, kind = best[j][1:]
@@ -111,7 +131,7 @@ def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
     for m in _CONTEXT.finditer(text):
         value = m[1].rstrip(".)]}!?:&*#$%")
         # prose after a bare "is" or blank has no digit; a machine-made value nearly always has one
-        if len(value) >= 6 and re.search(r"\d", value) and guesses(value)[0] >= threshold:
+        if len(value) >= 6 and re.search(r"\d", value) and guesses(value, threshold)[0] >= threshold:
             out.append(("guess", m.start(1), m.start(1) + len(value)))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
