@@ -68,6 +68,13 @@ def test_secrets(odd, none):
     assert secrets.secret_scan(odd).first().base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+@pytest.mark.parametrize("before", ["pwd=", "passphrase: ", "pwd => ", 'credentials "', "auth.pwd="])
+def test_secrets_of_letters_after_a_separator(before):
+    value = "kXqWzRtPvLmN"
+    assert secrets.scan(f"x {before}{value} y") == [("guess", 2 + len(before), 2 + len(before) + len(value))]
+    assert secrets.scan("the pwd is authentication of passengers; auth: username, passcode: required") == []
+
+
 def test_secrets_are_taken_whole():
     rng = np.random.default_rng(2)
     long = "".join(rng.choice(list("abcdefghijABCDEFGHIJ0123456789-_"), 303))

@@ -18,14 +18,21 @@ _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: What makes the rest of a line's next token a credential's value.
-_CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth|bearer|private[_-]?key)["']?[\x20\t]*(?:[:=]|=>|\bis\b)?[\x20\t]*["']?([^\s"',;<>|]{6,})""", re.ASCII)
+_CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth|bearer|private[_-]?key)["']?[\x20\t]*([:=]|=>|\bis\b)?[\x20\t]*(["']?)([^\s"',;<>|]{6,})""", re.ASCII)
 #: A cheap test for texts that hold neither kind of context.
 _ANY = re.compile(r"pass|pwd|secret|token|api|cred|auth|bearer|private|AKIA|[0-9a-f]{24}", re.IGNORECASE | re.ASCII)
 #: log10 of the guesses from which a value is taken for a machine-made secret.
 THRESHOLD = 11.0
+#: More for a value without digits after a blank or a bare "is", where prose stands, and of which each part counts alone.
+BARE_MORE = 19.0
+_PARTS = re.compile(r"[A-Za-z0-9!@#$%^&*+~?]+")
+#: The longest word that opens a context.
+_OPENS = 11
 
 # Common words of passwords and placeholders by rank, keyboard rows.
 _WORDS = "password secret token admin user login welcome changeme example test default letmein qwerty dragon master monkey shadow love hello sunshine princess football baseball superman batman summer winter spring autumn company server database public private access account system your here none null true false value string enter this that the and for with not".split()
+# longer words of prose, after those
+_WORDS += "required optional changed expired invalid incorrect missing unknown disabled enabled protected encrypted provided generated username authentication authorization authorized unauthorized credentials permission permissions security management manager service services application applications information configuration settings environment variable variables development production documentation description available important different following additional administrator successful successfully sensitive confidential something anything everything nothing whatever somewhere someone everyone undefined redacted placeholder sample customer international government university american national community education business research technology experience including according together children question problem president position condition operation relation function structure standard material personal economic political industry increase activity building religion decision direction discussion situation interest organization association communication transaction validation verification certificate identity identifier reference response request requirements resource repository container kubernetes connection interface procedure process processing program programming language character characters sentence paragraph document documents message messages passwords passphrase passcode bearer authority author authors ingredient ingredients recovery rotation rotated revoked accepted rejected forgotten remember recommended temporary permanent minimum maximum uppercase lowercase alphanumeric special combination beginning understand understanding themselves themself yourself ourselves another through without between because although however therefore usually probably certainly especially actually generally possible impossible necessary difference knowledge literature history medicine mountain yesterday tomorrow afternoon breakfast christmas september november december february wednesday thursday saturday".split()
 _RANK = {w: i + 1 for i, w in enumerate(_WORDS)}
 _LONGEST = max(map(len, _WORDS))
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
@@ -121,6 +128,13 @@ def guesses(value: str, enough: float = math.inf) -> tuple[float, list[tuple[str
     return best[n][0], segments[::-1]
 
 
+def _secret(value: str, explicit: bool, threshold: float) -> bool:
+    if explicit or re.search(r"\d", value):
+        return guesses(value, threshold)[0] >= threshold
+    more = threshold + BARE_MORE
+    return any(guesses(part, more)[0] >= more for part in _PARTS.findall(value) if len(part) >= 6)
+
+
 def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, by start, then kind as listed, then end."""
     if not _ANY.search(text):
@@ -128,11 +142,16 @@ def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
     out = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 6]
     out += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     out += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    for m in _CONTEXT.finditer(text):
-        value = m[1].rstrip(".)]}!?:&*#$%")
-        # prose after a bare "is" or blank has no digit; a machine-made value nearly always has one
-        if len(value) >= 6 and re.search(r"\d", value) and guesses(value, threshold)[0] >= threshold:
-            out.append(("guess", m.start(1), m.start(1) + len(value)))
+    at = 0
+    while m := _CONTEXT.search(text, at):
+        value = m[3].rstrip(".)]}!?:&*#$%")
+        explicit = bool(m[2]) or (m[1] or "is").lower() != "is"
+        at = m.end()
+        if len(value) >= 6 and _secret(value, explicit, threshold):
+            out.append(("guess", m.start(3), m.start(3) + len(value)))
+        elif not explicit and (inner := re.search("[:=]", m[3])):
+            # prose may hold an explicit context
+            at = max(m.start(3), m.start(3) + inner.start() - _OPENS)
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
