@@ -90,3 +90,17 @@ def test_tables(spark, nulls):
     assert rows(v.new_tbl(spark, x=[1, 2], y=3)) == [(1, 3), (2, 3)] and nulls.n_groups() == 1 and len(nulls.group_by("g").group_split()) == 3
     assert bind_rows(nulls, None, [nulls]).df.count() == 10 and v.f_mutate(nulls, z=1).df.columns[-1] == "z"
     assert [tuple(r) for r in tidy(spark.createDataFrame([("x",)], "g string")).group_by("g", levels={"g": ["x", "y"]}).summarise(n=e.n()).df.collect()] == [("x", 1), ("y", None)]
+
+
+def test_order_queries_return_all_rows(spark):
+    from verbena.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    got = QUERIES["arrange_desc_nulls_all"](spark, sf_dir).orderBy("row_id").collect()
+    missing = customers.filter("c_acctbal <= 0").count()
+    assert len(got) == customers.count() and [r.b is None for r in got] == [False] * (len(got) - missing) + [True] * missing and missing
+    assert QUERIES["arrange_by_group_all"](spark, sf_dir).count() == len(got)
+    counts = QUERIES["count_sort_all"](spark, sf_dir).orderBy("row_id").collect()
+    assert len(counts) == spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert [(-r.n, r.l_suppkey) for r in counts] == sorted((-r.n, r.l_suppkey) for r in counts)

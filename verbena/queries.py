@@ -189,6 +189,11 @@ def count_sort(t):
     return t("lineitem").count("l_suppkey", sort=True).slice_head(20, order_by=[desc("n"), "l_suppkey"])
 
 
+@query("select *, row_number() over (order by n desc, l_suppkey) as row_id from (select l_suppkey, count(*) as n from lineitem group by all)")
+def count_sort_all(t):
+    return t("lineitem").count("l_suppkey", sort=True).add_row_id()
+
+
 @query("select n, count(*) as nn from (select l_linenumber as n from lineitem) group by n")
 def count_name_clash(t):
     return t("lineitem").select(n="l_linenumber").count("n")
@@ -240,6 +245,16 @@ def arrange_by_group(t):
     return t("customer").group_by("c_nationkey").arrange("c_name", by_group=True).df.limit(40)
 
 
+@query("select *, row_number() over (order by b desc nulls last, c_custkey) as row_id from (select *, case when c_acctbal > 0 then c_acctbal end as b from customer)")
+def arrange_desc_nulls_all(t):
+    return t("customer").mutate(b=F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))).arrange(desc("b"), "c_custkey").add_row_id()
+
+
+@query("select *, row_number() over (order by c_nationkey, c_name) as row_id from customer")
+def arrange_by_group_all(t):
+    return t("customer").group_by("c_nationkey").arrange("c_name", by_group=True).ungroup().add_row_id()
+
+
 @query("select * from events qualify row_number() over (partition by user_id order by event_id) in (2, 5)")
 def slice_pos(t):
     return t("events").slice(5, 0, 2, 100000, by="user_id", order_by="event_id")
