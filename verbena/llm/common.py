@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,16 +17,16 @@ from pyspark.sql.internal import InternalFunction
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A group holding more than 1/HOT_SHARE of all rows is hot; there can be at most HOT_SHARE of them.
-HOT_SHARE = 1000
-
 _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: ``spark.checkpoint.dir``, or an own one where that is unset (tests)."""
+    """The folder shared by driver and executors: ``spark.checkpoint.dir``. Where that is unset, a local master gets a folder of
+    its own; on a cluster that is an error, as executors don't share local folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="verbena-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -45,7 +46,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    """Scratch tables go when the application ends."""
+    """What is left of the scratch tables goes when the application ends."""
     for spark, path in _made:
         if spark.sparkContext._jsc is not None:
             drop_path(spark, path)
@@ -56,7 +57,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes a written table that nothing will read again."""
+    drop_path(df.sparkSession, df._scratch)
+    _made.remove((df.sparkSession, df._scratch))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,21 +77,15 @@ def uid() -> Column:
     return F.monotonically_increasing_id()
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """Left join of rows with one row per key, whatever the skew of the keys.
 
-    Keys with more than total / HOT_SHARE rows, of which there are at most HOT_SHARE, are broadcast and so split over all
-    tasks; of the others none holds more than a thousandth of the rows. Rows without a key never shuffle.
+    The groups are written first, so that both sides of the join are plain shuffles: of such, adaptive execution splits a
+    partition of rows that is too large (a hot key, or the rows without a key) over several tasks. It broadcasts the groups
+    only below its own size threshold.
     """
-    limit = total // HOT_SHARE
-    hot, cold = groups.filter(F.col(size) > limit), groups.filter(F.col(size) <= limit)
     added = [c for c in groups.columns if c != key]
-    order = [*rows.columns, *added]
-    keyed = rows.filter(F.col(key).isNotNull())
-    keyless = rows.filter(F.col(key).isNull()).select("*", *(F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in added))
-    with_hot = keyed.join(F.broadcast(hot), key, "inner").select(order)
-    rest = keyed.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return with_hot.unionByName(rest.join(cold, key, "left").select(order)).unionByName(keyless.select(order))
+    return rows.join(write_table(groups, "groups"), key, "left").select(*rows.columns, *added)
 
 
 def bloom_of(df: DataFrame, value: Column, expected: int) -> Column:
@@ -101,31 +104,42 @@ def might_contain(bloom: Column, value: Column) -> Column:
     return F.coalesce(Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(test)), F.lit(False))
 
 
-def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str, expected: int) -> tuple[DataFrame, DataFrame]:
-    """(rows that may have one of the ids, the others): a narrow filter, so that only the first part needs to shuffle."""
-    hit = might_contain(bloom_of(ids, F.xxhash64(id_col), expected), F.xxhash64(F.col(id_col)))
-    return docs.filter(hit), docs.filter(~hit)
+def rows_with_keys(rows: DataFrame, keys: DataFrame, key: str, expected: int) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the keys, the others): a narrow filter, so that only the first part needs to shuffle."""
+    hit = might_contain(bloom_of(keys, F.xxhash64(key), expected), F.xxhash64(F.col(key)))
+    return rows.filter(hit), rows.filter(~hit)
+
+
+def _star(edges: DataFrame, low: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Hangs b of every edge (a, b) on the smallest node of a's neighbourhood."""
+    low = write_table(low, "low")
+    got = edges.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    if more is not None:
+        got = got.union(low.select("a", F.col("m").alias("b")))
+    made = write_table(got.filter("a <> b").distinct(), "edges")
+    drop_table(low)
+    return made
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node of its component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): no step adds edges, and the number of steps is
-    logarithmic. A hub's edges are spread over all tasks by join_groups, its minimum by the map-side combine.
+    logarithmic. Each step is a small plan over written tables: minima with map-side combine, then a join whose skew (the
+    edges of a hub) adaptive execution splits. Settled when a round changes neither number nor hash of the edges.
     """
+    seen = None
     e = write_table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    n = e.count()
     for _ in range(rounds):
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        # large star: every larger neighbour of a hangs on the smallest of a's neighbourhood
-        big = join_groups(both.filter("b > a"), low, "a", "n", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: the smaller neighbours and a itself hang on the smallest
-        low = big.groupBy("a").agg(F.min("b").alias("m"))
-        new = big.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m").toDF("a", "b")).filter("a <> b").distinct()
-        e = write_table(new, "edges")
-        # done when it is a forest of stars: each leaf has one centre and no centre is a leaf
-        n, leaves = e.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
-        if n == leaves and not e.join(e.select(F.col("b").alias("a")), "a", "left_semi").take(1):
+        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if now == seen or not now[0]:
             return e.toDF("node", "root").union(e.select("b").distinct().select("b", "b"))
+        seen = now
+        # large star: every larger neighbour of a node hangs on the smallest of the node's neighbourhood
+        up = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        big = _star(up, e.union(up).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        drop_table(e)
+        # small star: the smaller neighbours of a node, and the node itself, hang on the smallest of them
+        e = _star(big, big.groupBy("a").agg(F.min("b").alias("m")), big)
+        drop_table(big)
     raise RuntimeError("components did not settle")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_with_ids, write_table
+from .common import rows_with_keys, write_table
 from .files import small_batches
 
 SEED_WORDS = 5
@@ -174,5 +174,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def keep_clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows whose id isn't among the found ones; only rows that a Bloom filter of those ids lets through shuffle."""
     ids = write_table(found.select(id_col).distinct(), "found")
-    flagged, free = rows_with_ids(docs, ids, id_col, max(1, ids.count()))
+    flagged, free = rows_with_keys(docs, ids, id_col, max(1, ids.count()))
     return free.unionByName(flagged.join(ids, id_col, "left_anti").select(docs.columns))

@@ -35,7 +35,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     once, again = flag.filter("not again").drop("again"), flag.filter("again").drop("again")
     best = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("uid").alias("uid"))).alias("best")
     groups = again.groupBy("sha").agg(best, F.count(F.lit(1)).alias("group_size"))
-    met = join_groups(again, groups, "sha", "group_size", total)
+    met = join_groups(again, groups, "sha")
     out = met.select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "sha")
     out = out.unionByName(once.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))

@@ -18,16 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, join_groups, rows_with_ids, write_table
-from .files import small_batches, whole
+from .common import components, drop_table, join_groups, rows_with_keys, uid, write_table
+from .files import small_batches
 from .shingles import U, mix, shingle_sets
 
 #: Shingles (at least 200 a set) of a verification block; two blocks meet in one task.
 BLOCK_WEIGHT, LEAST_WEIGHT = 300_000, 200
 #: The same for the bitmaps, in bits, and comparisons of a tile.
 SCREEN_WEIGHT, LEAST_BITS, TILE = 8_000_000, 256, 500_000
-#: Keys that a task holds before it writes them out.
-FLUSH_KEYS, FLUSH_NODES = 4_000_000, 60_000
+#: Keys that a task holds before it writes them out, and those of a bucket, which one task sorts.
+FLUSH_KEYS, FLUSH_NODES, BUCKET_KEYS = 4_000_000, 60_000, 3_000_000
 #: What a needless candidate (a comparison of bitmaps) costs against a key, how often two lone shingles of unlike sets agree, and for how many sets
 #: of a band the allocation is made: fixed, so that keys grow as the input.
 PAIR_COST, LONE_SHARE, POPULATION = 0.1, 0.01, 2500
@@ -50,6 +50,16 @@ def band_of(n: int, num: int, den: int) -> int:
     return k
 
 
+def n_keys(n: int, num: int, den: int) -> int:
+    """About how many keys a set of n has."""
+    k, out = band_of(n, num, den), 0
+    for scheme in (k, k - 1):
+        if scheme == k or (scheme >= 0 and n <= (band_edge(k, num, den) - 1) * den // num):
+            m, n2, _, _ = allocation(scheme, num, den)
+            out += m + n2 * n // m
+    return out
+
+
 @lru_cache(maxsize=None)
 def allocation(k: int, num: int, den: int) -> tuple[int, int, int, int]:
     """(m, n2, H, largest partner) of band k: m segments of which the first n2 also match by one deletion.
@@ -149,6 +159,22 @@ class Forest:
             self.label[np.isin(self.label, labels[new])] = self.label[i]
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """The components of edges as edges of each node to its component's smallest: what one task knows, in as few rows as possible."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.split(at, 2)
+    label, before = np.arange(len(nodes)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        low = np.minimum(label[x], label[y])
+        for side in (before[x], before[y]):
+            np.minimum.at(label, side, low)
+        while (label != label[label]).any():
+            label = label[label]
+    far = label != np.arange(len(nodes))
+    return pd.DataFrame({"a": nodes[far], "b": nodes[label[far]]}, dtype="int64")
+
+
 def screen(n: np.ndarray, bits: list[bytes], width: int, left: np.ndarray, right: np.ndarray, num: int, den: int, forest: Forest) -> None:
     """Joins the rows i of left and j of right whose bitmaps, folded to width, allow a link."""
     same = left is right
@@ -178,23 +204,28 @@ def screen(n: np.ndarray, bits: list[bytes], width: int, left: np.ndarray, right
         a = b
 
 
-def _chunks(b: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
-    ids, texts, at = b["id"].tolist(), b["text"].tolist(), 0
+def _chunks(b: pd.DataFrame) -> Iterator[tuple[slice, list[str]]]:
+    texts, at = b["text"].tolist(), 0
     while at < len(texts):
         stop, chars = at, 0
         while stop < len(texts) and (stop == at or chars < 1_000_000):
             chars += len(texts[stop])
             stop += 1
-        yield ids[at:stop], texts[at:stop]
+        yield slice(at, stop), texts[at:stop]
         at = stop
 
 
 def _names(words: int, num: int, den: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for ids, texts in _chunks(b):
+            for at, texts in _chunks(b):
                 sets = shingle_sets(texts, words)
-                yield pd.DataFrame({"id": whole(ids), "n": [len(s) for s in sets], "node": whole([node_of(s) if len(s) else None for s in sets]), "bits": [bitmap(s, num, den) if len(s) else None for s in sets]})
+                out = b[["id", "row_key"]].iloc[at].reset_index(drop=True)
+                out["n"] = [len(s) for s in sets]
+                out["node"] = pd.array([node_of(s) if len(s) else None for s in sets], "Int64")
+                out["n_keys"] = [n_keys(len(s), num, den) if len(s) else 0 for s in sets]
+                out["bits"] = [bitmap(s, num, den) if len(s) else None for s in sets]
+                yield out
 
     return run
 
@@ -243,7 +274,7 @@ def _index(words: int, num: int, den: int, buckets: int):
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: for each key with several nodes, edges of its smallest node to the others (candidates only)."""
+    """Of one bucket: nodes that share keys, directly or through others, as stars (candidates only)."""
     keys, nodes = [], []
     for blob in pdf["blob"]:
         n, m = (int(x) for x in np.frombuffer(blob, np.uint32, 2))
@@ -260,12 +291,8 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     key, node = key[many], node[many]
     if not len(key):
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    by = np.lexsort((node, key))
-    key, node = key[by], node[by]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    least = np.repeat(node[first], np.diff(np.concatenate([first, [len(key)]])))
-    pairs = np.unique(np.stack([node[node != least], least[node != least]], 1), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return stars(node, np.repeat(node[first], np.diff(np.concatenate([first, [len(key)]]))))
 
 
 def linked(sets: list[np.ndarray], num: int, den: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -331,7 +358,7 @@ def _verify(num: int, den: int):
             for x, y in linked(sets, num, den, left, right) if len(left) and len(right) else ():
                 a.append(nodes[x])
                 b.append(nodes[y])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        return stars(np.array(a, np.int64), np.array(b, np.int64))
 
     return run
 
@@ -359,7 +386,7 @@ def _screen(num: int, den: int):
                     screen(n, bits, bitmap_width(k, num, den), left, right, num, den, forest)
             a += [nodes[x] for x, _ in forest.edges]
             b += [nodes[x] for _, x in forest.edges]
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        return stars(np.array(a, np.int64), np.array(b, np.int64))
 
     return run
 
@@ -369,51 +396,46 @@ PLACED = "node long, shingles binary, key long, root long, ka int, i long, kb in
 
 
 def _sets_again(words: int):
-    """Each candidate's set, once for every group that it is in."""
+    """Each candidate's set, once for every group that it is in; of equal rows that come to a task, the first."""
     columns = [x.split()[0] for x in PLACED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for b in batches:
-            at = 0
-            for _, texts in _chunks(b):
+            b = b[~b["node"].isin(seen)].drop_duplicates("node")
+            for at, texts in _chunks(b):
                 rows = []
-                for s, node, places in zip(shingle_sets(texts, words), b["node"].iloc[at : at + len(texts)], b["places"].iloc[at : at + len(texts)], strict=True):
-                    if len(s) and node_of(s) == node:  # a repeated id may have other texts
+                for s, node, places in zip(shingle_sets(texts, words), b["node"].iloc[at], b["places"].iloc[at], strict=True):
+                    if len(s) and node_of(s) == node:  # unequal rows may have one key
+                        seen.add(node)
                         data = small_bytes(s)
                         rows += [(node, data, *(p[c] for c in columns[2:])) for p in places]
-                at += len(texts)
                 yield pd.DataFrame(rows, columns=columns)
 
     return run
 
 
-def meetings(nodes: DataFrame, weight: F.Column, limit: int, total: int) -> DataFrame:
+def meetings(nodes: DataFrame, weight: F.Column, limit: int, all_weight: int) -> DataFrame:
     """The rows (node, root, n, band and others) with the places, each a group of one task, where they meet the others of their root.
 
-    A root up to the limit is one group. A larger one is cut into blocks of each band, and a block meets those of its own band
-    and of the next.
+    A root up to the limit is one group; such groups are packed into bins, of which there are enough for the weight of all
+    nodes. A larger one is cut into blocks of each band, and a block meets those of its own band and of the next.
     """
-    rest = [c for c in nodes.columns if c not in ("root", "band")]
+    rest = [c for c in nodes.columns if c not in ("root", "band", "at")]
     zero = F.lit(0).cast("long")
-    clusters = write_table(nodes.groupBy("root").agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("members")), "clusters")
-    placed = write_table(join_groups(nodes, clusters, "root", "members", total), "placed")
-    small = placed.filter(F.col("weight") <= limit)
-    bins = max(1, -(-int(clusters.filter(F.col("weight") <= limit).agg(F.sum("weight")).first()[0] or 0) // limit))
-    bins = max(bins, 2 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    alone = F.struct(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("key"), "root", F.lit(-1).alias("ka"), zero.alias("i"), F.lit(-1).alias("kb"), zero.alias("j"), F.lit(-1).alias("band"), zero.alias("block"))
-    small = small.select(*rest, F.array(alone).cast(PLACES).alias("places"))
-
-    large = placed.filter(F.col("weight") > limit).select(*rest, "band", F.struct("root", "band").alias("at"))
-    parts = large.groupBy("at").agg(F.ceil(F.sum(weight) / limit).alias("blocks"), F.count(F.lit(1)).alias("members"))
-    by_root = W.partitionBy("at.root").orderBy("at.band")
-    beside = lambda f, step: F.when(f(F.col("at.band")).over(by_root) == F.col("at.band") + step, f(F.col("blocks")).over(by_root))
-    parts = parts.select("at", "blocks", "members", F.coalesce(beside(F.lag, -1), zero).alias("below"), F.coalesce(beside(F.lead, 1), zero).alias("above"))
-    large = join_groups(large, parts, "at", "members", total).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    bins = max(-(-all_weight // limit), 2 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a root has one row per band here, a few dozen at most
+    parts = nodes.groupBy("root", "band").agg(F.sum(weight).alias("weight"))
+    of_root = W.partitionBy("root")
+    by_band = of_root.orderBy("band")
+    parts = parts.withColumn("blocks", F.ceil(F.col("weight") / limit)).withColumn("small", F.sum("weight").over(of_root) <= limit)
+    beside = lambda f, step: F.coalesce(F.when(f("band").over(by_band) == F.col("band") + step, f("blocks").over(by_band)), zero)
+    parts = parts.select(F.struct("root", "band").alias("at"), "small", "blocks", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above"))
+    placed = join_groups(nodes.withColumn("at", F.struct("root", "band")), parts, "at").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
     def place(ka: F.Column, i: F.Column, kb: F.Column, j: F.Column) -> F.Column:
-        root = F.col("at.root")
-        key = F.lit(bins) + F.pmod(F.xxhash64(root, ka, i, kb, j), F.lit(1 << 40))
-        return F.struct(key.alias("key"), root.alias("root"), ka.alias("ka"), i.alias("i"), kb.alias("kb"), j.alias("j"), F.col("band").alias("band"), F.col("block").alias("block"))
+        key = F.lit(bins) + F.pmod(F.xxhash64("root", ka, i, kb, j), F.lit(1 << 40))
+        return F.struct(key.alias("key"), F.col("root"), ka.alias("ka"), i.alias("i"), kb.alias("kb"), j.alias("j"), F.col("band"), F.col("block"))
 
     def upto(n: str) -> F.Column:
         return F.when(F.col(n) > 0, F.sequence(zero, F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
@@ -422,62 +444,82 @@ def meetings(nodes: DataFrame, weight: F.Column, limit: int, total: int) -> Data
     own = F.transform(upto("blocks"), lambda x: place(band, F.least(block, x), band, F.greatest(block, x)))
     up = F.transform(upto("above"), lambda x: place(band, block, band + 1, x))
     down = F.transform(upto("below"), lambda x: place(band - 1, x, band, block))
-    large = large.select(*rest, F.concat(own, up, down).cast(PLACES).alias("places"))
-    return small.unionByName(large)
+    alone = F.struct(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("key"), F.col("root"), F.lit(-1).alias("ka"), zero.alias("i"), F.lit(-1).alias("kb"), zero.alias("j"), F.lit(-1).alias("band"), zero.alias("block"))
+    places = F.when(F.col("small"), F.array(alone).cast(PLACES)).otherwise(F.concat(own, up, down).cast(PLACES))
+    return placed.select(*rest, places.alias("places"))
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links, itself included).
+    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links, itself included), row_key (a
+    hash of id and text), keeps (true for the row of the component with the smallest id, null ids last, then smallest row_key).
 
     Two documents link when their sets of distinct word shingles have a Jaccard similarity of num / den or more; every link
-    counts, none is sampled or capped. Null texts and texts without words have no shingles and link with nothing; repeated
-    rows are copies. A row without id shares the component of rows with an equal set; a set that only rows without id have is
-    not verified, so it links with nothing and its component is null. Other columns are not read.
+    counts, none is sampled or capped. Null texts and texts without words have no shingles, link with nothing and keep; repeated
+    rows are copies, equal in row_key too. Rows without id take part as the others do; the component_id of a component of only
+    such rows is null. Ids are whole numbers or strings of such. Other columns are not read; an empty table gives no rows.
 
     1. One pass over the texts names the sets, one more makes their keys (cheaper than to store either). 2. Per bucket of
-    keys: a star of candidate edges, no pairs. 3. Components of candidates; in each the bitmaps are compared (`meetings`), which
+    keys: stars of candidates, no pairs. 3. Components of candidates; in each the bitmaps are compared (`meetings`), which
     leaves the components of pairs that may link. 4. In these the sets, read again, are verified exactly, each task
-    returning a spanning forest. 5. Components of verified links.
+    returning stars. 5. Components of verified links.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    total = max(1, docs.count())
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    listed = write_table(rows.withColumn("id", F.col("id").cast("string")).mapInPandas(_names(words, num, den), "id long, n long, node long, bits binary"), "sets")
-    maybe = rows.mapInPandas(_index(words, num, den, buckets), "bucket int, blob binary").groupBy("bucket").applyInPandas(_meet, "a long, b long")
-    maybe = write_table(components(maybe), "candidates")
-    nodes = write_table(listed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits")), "nodes")
-
-    most = nodes.agg(F.max("n")).first()[0] or 1
+    rows = rows.withColumn("row_key", F.xxhash64("id", "text"))
+    as_text = rows.withColumn("id", F.col("id").cast("string"))  # long ids beside nulls would become floats in Python
+    listed = write_table(as_text.mapInPandas(_names(words, num, den), "id string, row_key long, n long, node long, n_keys long, bits binary").withColumn("id", F.col("id").cast("long")), "sets")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row_key").alias("row_key"))).alias("best")
+    nodes = write_table(listed.filter("node is not null").groupBy("node").agg(best, F.first("n").alias("n"), F.first("n_keys").alias("n_keys"), F.first("bits").alias("bits")), "nodes")
+    of = lambda least: F.greatest(F.col("n"), F.lit(least))
+    most, keys, weight, screen_weight, total = (x or 1 for x in nodes.agg(F.max("n"), F.sum("n_keys"), F.sum(of(LEAST_WEIGHT)), F.sum(of(LEAST_BITS)), F.count(F.lit(1))).first())
+
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys // BUCKET_KEYS))
+    maybe = rows.select("text").mapInPandas(_index(words, num, den, buckets), "bucket int, blob binary").groupBy("bucket").applyInPandas(_meet, "a long, b long")
+    maybe = components(maybe)
     edges = F.array(*(F.lit(band_edge(k, num, den)) for k in range(1, band_of(most, num, den) + 1)))
     nodes_in_bands = nodes.withColumn("band", F.size(F.filter(edges, lambda x: x <= F.col("n"))).cast("int") if most > 1 else F.lit(0))
-    first = meetings(maybe.join(nodes_in_bands, "node").select("node", "root", "n", "bits", "band"), F.greatest("n", F.lit(LEAST_BITS)), SCREEN_WEIGHT, total)
+    candidates = write_table(maybe.join(nodes_in_bands, "node").select("node", "root", "n", "bits", "band"), "candidates")
+    first = meetings(candidates, of(LEAST_BITS), SCREEN_WEIGHT, screen_weight)
     first = first.select("node", "n", "bits", F.explode("places").alias("p")).select("node", "n", "bits", "p.*")
-    likely = write_table(components(first.groupBy("key").applyInPandas(_screen(num, den), "a long, b long")), "likely")
-    places = write_table(meetings(likely.join(nodes_in_bands, "node").select("node", "root", "n", "id", "band"), F.greatest("n", F.lit(LEAST_WEIGHT)), BLOCK_WEIGHT, total).select("id", "node", "places"), "places")
-
-    texts, _ = rows_with_ids(rows, places.select("id"), "id", total)
-    met = texts.join(places.hint("shuffle_hash"), "id").select("id", "text", "node", "places").mapInPandas(_sets_again(words), PLACED)
-    links = met.groupBy("key").applyInPandas(_verify(num, den), "a long, b long")
-    parts = components(links)
-
-    least = parts.join(nodes, "node").groupBy("root").agg(F.min("id").alias("least"))
-    named = parts.join(least, "root").select("node", "least")
-    names = nodes.join(named, "node", "left").select("node", F.coalesce("least", "id").alias("component_id"), "copies")
-    out = join_groups(listed.drop("bits"), names, "node", "copies", total)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of every class the document with the smallest id, with all its columns; rows without id stay.
-
-    Only rows that a Bloom filter of the ids to drop, and of ids that occur twice, lets through shuffle. Repeated rows
-    (same id and text) leave one.
+    likely = components(first.groupBy("key").applyInPandas(_screen(num, den), "a long, b long"))
+    drop_table(candidates)
+    second = write_table(likely.join(nodes_in_bands, "node").select("node", "root", "n", F.struct("best.id", "best.row_key").alias("row"), "band"), "likely")
+    places = write_table(meetings(second, of(LEAST_WEIGHT), BLOCK_WEIGHT, weight).select("row", "node", "places"), "places")
+    drop_table(second)
+
+    texts, _ = rows_with_keys(rows.select(F.struct("id", "row_key").alias("row"), "text"), places, "row", total)
+    met = texts.join(places.hint("shuffle_hash"), "row").select("text", "node", "places").mapInPandas(_sets_again(words), PLACED)
+    parts = components(met.groupBy("key").applyInPandas(_verify(num, den), "a long, b long"))
+    drop_table(places)
+
+    linked_nodes = write_table(parts.join(nodes.select("node", "best"), "node").select("node", "root", "best"), "linked")
+    least = linked_nodes.groupBy("root").agg(F.min("best").alias("least"))
+    named = join_groups(linked_nodes, least, "root").select("node", "least")
+    names = nodes.join(named, "node", "left").select("node", F.coalesce("least", "best").alias("best"))
+    out = join_groups(listed.select("id", "row_key", "n", "node"), names, "node")
+    alone = F.col("node").isNull()
+    keeps = alone | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("row_key") == F.col("best.row_key")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("component_id"), "row_key", keeps.alias("keeps"))
+
+
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of every class (of `jaccard_classes` of the same docs) one row, with all its columns: that which keeps. Rows are told apart
+    by id and text, so a repeated id loses none of its other texts, and rows without id are treated as the others.
+
+    Only rows that a Bloom filter of the rows to drop, and of those that occur several times, lets through shuffle. Of equal
+    rows (same id and text, with words) one stays; rows without words all stay. An empty table gives no rows.
     """
-    drop = write_table(classes.filter(f"{id_col} <> component_id").select(id_col).distinct(), "dropped")
-    twice = classes.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
-    ids = write_table(drop.union(twice), "checked")
-    flagged, free = rows_with_ids(docs, ids, id_col, max(1, ids.count()))
-    kept = flagged.filter(F.col(id_col).isNotNull()).join(drop, id_col, "left_anti").select(docs.columns).dropDuplicates([id_col, "text"])
-    return free.unionByName(kept).unionByName(flagged.filter(F.col(id_col).isNull()))
+    clash = [c for c in ("__row", "__drop") if c in docs.columns]
+    if clash:
+        raise ValueError(f"reserved columns: {clash}")
+    columns = [f"`{c}`" for c in docs.columns]
+    row = F.struct(F.col(id_col).cast("long").alias("id"), F.col("row_key"))
+    held = classes.filter("n_shingles > 0").groupBy(row.alias("__row")).agg(F.max(~F.col("keeps")).alias("__drop"), F.count(F.lit(1)).alias("n"))
+    checked = write_table(held.filter("__drop or n > 1").select("__row", "__drop"), "checked")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.withColumn("__row", F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row_key")))
+    flagged, free = rows_with_keys(own, checked, "__row", max(1, checked.count()))
+    met = flagged.join(checked, "__row", "left").filter("__drop is null or not __drop")
+    kept = met.withColumn("__drop", F.when(F.col("__drop").isNull(), uid())).dropDuplicates(["__row", "__drop"])
+    return free.select(columns).unionByName(kept.select(columns))

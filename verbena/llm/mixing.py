@@ -114,8 +114,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = pieces.join(drawn.select(F.struct("source", "block_no").alias("at"), "lengths", "shards"), "at").select("uid", taken.alias("taken"), "shards")
     got = met.groupBy("uid").agg(F.sum("taken").alias("taken"), F.size(F.array_distinct(F.flatten(F.collect_list("shards")))).cast("long").alias("n_shards"))
     out = rows.join(got, "uid", "left").select("id", F.struct("source").alias("src"), "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_shards", F.lit(0)).cast("long").alias("n_shards"))
-    stats = targets.select(F.struct("source").alias("src"), "source_size", "target", "n_docs")
-    out = join_groups(out, stats, "src", "n_docs", total)
+    stats = targets.select(F.struct("source").alias("src"), "source_size", "target")
+    out = join_groups(out, stats, "src")
     return out.select(F.col("id").alias(id_col), F.col("src.source").alias(source_col), "size", "source_size", "target", "taken", "n_shards")
 
 

@@ -233,7 +233,7 @@ def arc_to_warc(manifest: DataFrame, arcs: str, out: str, least: int = LEAST_REV
     best = F.max(F.struct(F.col("page_id").isNotNull().alias("has"), F.col("page_id").alias("page"), F.col("file").alias("file"), F.col("idx").alias("idx"))).alias("best")
     large = manifest.filter(F.col("n_bytes") >= least)
     groups = large.groupBy("digest").agg(best, F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = join_groups(large, groups, "digest", "n", total).filter("best is not null and not (best.file = file and best.idx = idx)")
+    met = join_groups(large, groups, "digest").filter("best is not null and not (best.file = file and best.idx = idx)")
     revisits = met.groupBy("file").agg(F.collect_list(F.struct("idx", F.col("best.file").alias("best_file"), F.col("best.idx").alias("best_idx"), F.col("best.page").alias("best_page"))).alias("revisits"))
     files = manifest.groupBy("file").agg(F.count(F.lit(1)).alias("records"))
     n = max(1, min(100_000, -(-total // 500)))
