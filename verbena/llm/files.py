@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 import pandas as pd
-from pyarrow import fs
+from pyarrow import NativeFile, fs
 from pyspark.sql import SparkSession
 
 #: Rows and bytes of one Arrow batch between Spark and a Python worker, so that very long texts fit into its memory.
@@ -33,7 +33,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Readies a session for operators that run Python."""
+    """Readies a session for operators that run Python. The batch limits stay set, as plans run after the call that builds them."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -43,19 +43,23 @@ def _where(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def write_file(uri: str, data: bytes) -> None:
-    """All or nothing; a task that runs again writes the same bytes under the same name."""
+def write_file(uri: str, data: bytes | Iterable[bytes]) -> None:
+    """Callers name files by task attempt, so that an attempt never meets another's file, and list those of the attempts that ended."""
     store, path = _where(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as f:
-        f.write(data)
-    store.move(part, path)
+    with store.open_output_stream(path, compression=None) as f:
+        for part in [data] if isinstance(data, bytes) else data:
+            f.write(part)
+
+
+def open_file(uri: str) -> NativeFile:
+    store, path = _where(uri)
+    return store.open_input_file(path)
 
 
 def read_file(uri: str) -> bytes:
     store, path = _where(uri)
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         return f.read()
 
 

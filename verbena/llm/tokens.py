@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,8 +23,8 @@ MAGIC = b"VTOKENS1"
 BLOCK_IDS = 4096
 #: A file is closed after the document that brings it to so many ids.
 FILE_IDS = 2_000_000
-#: Chunks, and their pieces, that a worker keeps the ids of.
-KNOWN = 500_000
+#: Chunks that a worker keeps the ids of, and characters of a batch, of which each chunk is looked up once.
+KNOWN, BATCH_CHARS = 600_000, 4_000_000
 _HEAD = struct.Struct("<8sBQQQ")
 
 
@@ -91,17 +93,19 @@ class TokenFile:
 
 
 class Encoder:
-    """Texts to ids as the tokenizer gives them; remembers chunks.
+    """Texts to ids as the tokenizer gives them; each chunk of a batch is encoded once, and remembered.
 
     A byte-level BPE with the common pre-tokenisation never joins what stands on both sides of a space or line feed that
-    follows another character than white space. So such chunks are encoded each for itself, many at once and each once. Texts with
-    other white space, and other tokenizers, are encoded whole.
+    follows another character than white space. So a text without other white space, and without two of these in a row, is cut
+    before each of them, and the library gets the new chunks of a whole batch as one text: a token that begins with a space or
+    a line feed then begins a chunk. Other texts, and other tokenizers, are encoded whole.
     """
 
-    chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-    #: Of chunks of these characters alone the pre-tokens are known without asking the library, which takes most of its time for them.
-    plain = re.compile("[ \n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
-    pieces = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+| ?[0-9]+| ?[^ \nA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[ \n]+(?![^ \n])|[ \n]+")
+    letters = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+    #: Signs that end a chunk of letters as a pre-token of their own.
+    closing = ".,;:!?)"
+    #: Stands before a text's first chunk, which no space opens.
+    opens = "\x01"
 
     def __init__(self, path: str, known: int = KNOWN) -> None:
         import json
@@ -111,14 +115,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         said = json.loads(self.tokenizer.to_str())
         pre = said.get("pre_tokenizer") or {}
-        self.added = [t["content"] for t in said.get("added_tokens", [])]
-        odd = [t for t in said.get("added_tokens", []) if re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]]
+        odd = [t for t in said.get("added_tokens", []) if re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or self.letters.fullmatch(t["content"].rstrip(self.closing))]
         self.by_chunk = said.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and said["model"]["type"] == "BPE" and not odd
-        self.model, self.most, self.known, self.of_piece = self.tokenizer.model, known, _Known(self._chunk), {}
-        # byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.most, self.known = known, {}
+        if self.by_chunk:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.begins[[i for t, i in vocabulary.items() if t[:1] in "\u0120\u010a"]] = True  # the byte-level alphabet's space and line feed
+            self.closed = {c: self._whole(c) for c in self.closing}
 
     @property
     def bits(self) -> int:
@@ -127,44 +131,58 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        got = self.of_piece.get(piece)
-        if got is None:
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
-            got = self.of_piece[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
-
-    def _chunk(self, chunk: str) -> bytes:
-        if self.plain.fullmatch(chunk) and not any(a in chunk for a in self.added):
-            return b"".join(map(self._piece, self.pieces.findall(chunk)))
-        return self._whole(chunk)
-
-    def _text(self, t: str) -> bytes:
-        if not t.replace("\n", " ").isprintable():  # other white space, or what may be: no chunks
-            return self._whole(t)
-        if t[:1] == " " or "  " in t or " \n" in t or "\n " in t or "\n\n" in t:
-            return b"".join(map(self._chunk, self.chunks.findall(t)))
-        first, *rest = t.replace("\n", " \n").split(" ")  # cut before each space and line feed, the space left out
-        return b"".join([self._chunk(first) if first else b"", *map(self.known.__getitem__, rest)])
+    def _learn(self, parts: list[str]) -> None:
+        """Parts are chunks without the space that opens them; a line feed, or the mark of a text's beginning, is there."""
+        new, ended = {}, []
+        for p in parts:
+            if p[:1] == self.opens:
+                self.known[p] = self._whole(p[1:])
+            elif p[-1] in self.closed and self.letters.fullmatch(p, 0, len(p) - 1):
+                ended.append(p)
+                if p[:-1] not in self.known:
+                    new[p[:-1]] = None
+            else:
+                new[p] = None
+        if new:
+            text = " " + " ".join(new)
+            ids = np.array(self.tokenizer.encode_batch_fast([text.replace(" \n", "\n")], add_special_tokens=False)[0].ids, "<u4")
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) != len(new):
+                raise ValueError("chunks don't begin where they should")
+            held, cuts = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+            self.known.update({p: held[cuts[k] : cuts[k + 1]] for k, p in enumerate(new)})
+        for p in ended:
+            self.known[p] = self.known[p[:-1]] + self.closed[p[-1]]
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_chunk:
             return [np.frombuffer(self._whole(t), "<u4") for t in texts]
-        for held in (self.known, self.of_piece):
-            if len(held) > self.most:
-                held.clear()
-        return [np.frombuffer(self._text(t), "<u4") for t in texts]
-
-
-class _Known(dict):
-    """Ids of a chunk by its text without the leading space."""
-
-    def __init__(self, learn) -> None:
-        self.learn = learn
-
-    def __missing__(self, part: str) -> bytes:
-        got = self[part] = self.learn(part if part[:1] == "\n" else " " + part)
-        return got
+        if len(self.known) > self.most:
+            self.known.clear()
+        out, cut = [], []
+        for i, t in enumerate(texts):
+            plain = t.replace("\n", " ")
+            if plain.isprintable() and plain[:1] != " " and plain[-1:] != " " and "  " not in plain:
+                cut.append(i)
+                out.append(None)
+            else:  # white space of other kinds, or several in a row
+                out.append(np.frombuffer(self._whole(t), "<u4"))
+        if cut:
+            parts = pc.split_pattern(pa.array([self.opens + texts[i].replace("\n", " \n") for i in cut], pa.string()), " ")
+            coded = parts.values.dictionary_encode()
+            # one string and its split are quicker than a value at a time; no part has a space
+            names = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ")
+            if new := [p for p in names if p not in self.known]:
+                self._learn(new)
+            own = list(map(self.known.__getitem__, names))
+            size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+            place, which = np.cumsum(size) - size, coded.indices.to_numpy()
+            n = size[which]
+            ends = np.cumsum(n)
+            ids = np.frombuffer(b"".join(own), "<u4")[np.repeat(place[which] - (ends - n), n) + np.arange(int(n.sum()))]
+            for i, own_ids in zip(cut, np.split(ids, ends[parts.offsets.to_numpy()[1:] - 1])[:-1], strict=True):
+                out[i] = own_ids
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -180,13 +198,13 @@ def _packed(out: str, tokenizer: str, end_id: int, file_ids: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
+        task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         enc, seq, docs, ends, held, n = encoder(tokenizer), 0, [], [], [], 0
         last = np.array([end_id], "<u4")
 
         def close() -> pd.DataFrame:
             nonlocal seq, docs, ends, held, n
-            name = f"{out}/part-{task:06d}-{seq:06d}.vtok"
+            name = f"{out}/part-{task:06d}-{seq:06d}-{attempt}.vtok"
             write_file(name, to_file(docs, ends, np.concatenate(held), enc.bits))
             row = pd.DataFrame({"task": [task], "seq": [seq], "file": [name], "n_docs": [len(docs)], "n_ids": [n]})
             seq, docs, ends, held, n = seq + 1, [], [], [], 0
@@ -195,9 +213,9 @@ def _packed(out: str, tokenizer: str, end_id: int, file_ids: int):
         for b in batches:
             texts, ids = b["text"].tolist(), b["id"].tolist()
             at = 0
-            while at < len(texts):  # about a million characters at a time
+            while at < len(texts):
                 stop, chars = at, 0
-                while stop < len(texts) and (stop == at or chars < 1_000_000):
+                while stop < len(texts) and (stop == at or chars < BATCH_CHARS):
                     chars += len(texts[stop])
                     stop += 1
                 for d, got in zip(ids[at:stop], enc.batch(texts[at:stop]), strict=True):
@@ -227,8 +245,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, id_col: str = "
     """Writes every whole text, in ascending id order, as token files under out; returns the manifest: one row per file,
     in order (task, seq): file, n_docs, n_ids, base (ids in all files before it).
 
-    Null texts are empty (only the end id); null ids come first; repeated ids are ordered by the text's hash. An empty
-    table gives no file. The order comes from a range partitioning by (id, hash), which also splits a repeated id.
+    Ids are whole numbers, or strings of such. Null texts are empty (only the end id); null ids come first; repeated ids are
+    ordered by the text's hash; equal rows are documents of their own. An empty table gives no file. Other columns are not read. The order comes from a range partitioning by (id, hash), which also splits a repeated id.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
