@@ -5,17 +5,19 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_groups, scratch_path, write_table
-from .files import read_file, small_batches, whole, write_file
+from .files import open_file, small_batches, whole, write_file
 
 #: An ARC file is closed at so many records or payload bytes.
 FILE_RECORDS, FILE_BYTES = 2000, 32 << 20
@@ -28,6 +30,7 @@ FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
+_BLANK = re.compile(rb"\r?\n\r?\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -52,41 +55,40 @@ def arc_bytes(name: str, version: int, records: list[tuple[str, str, str, bytes]
     return b"".join(out)
 
 
-def _members(data: bytes) -> Iterator[bytes]:
-    """gzip members, or the whole of an uncompressed file."""
-    if data[:2] != b"\x1f\x8b":
-        yield data
-        return
-    while data:
-        d = zlib.decompressobj(31)
-        yield d.decompress(data) + d.flush()
-        data = d.unused_data
-
-
-def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, body) of every record after the first. The first says the version; a header line is split from its right
-    end, as a URL may hold spaces; the body is as long as declared, whatever it holds."""
-    version = None
-    for member in _members(data):
-        at = 0
-        while at < len(member):
-            if member[at : at + 1] in b"\n\r":
-                at += 1
-                continue
-            end = member.index(b"\n", at)
-            line = member[at:end].decode("utf-8", "replace").rstrip("\r")
-            length = int(line.rsplit(" ", 1)[1])
-            body = member[end + 1 : end + 1 + length]
-            if len(body) < length:
-                raise ValueError(f"an ARC record is shorter than its declared {length} bytes")
-            at = end + 1 + length
-            if version is None:
-                if not line.startswith("filedesc://"):
-                    raise ValueError("an ARC file begins with a filedesc record")
-                version = int(body.split(b" ", 1)[0])
-                continue
-            names = FIELDS[version]
-            yield dict(zip(names, line.rsplit(" ", len(names) - 1), strict=True)), body
+def _stream(source: bytes | BinaryIO) -> BinaryIO:
+    """What an archive holds, read bit by bit: gzip members one after the other, or the plain file."""
+    raw = io.BytesIO(source) if isinstance(source, bytes) else source
+    start = raw.read(2)
+    raw.seek(0)
+    return gzip.GzipFile(fileobj=raw) if start == b"\x1f\x8b" else io.BufferedReader(raw)
+
+
+def _exactly(f: BinaryIO, length: int) -> bytes:
+    got = f.read(length)
+    if len(got) < length:
+        raise ValueError(f"a record is shorter than its declared {length} bytes")
+    return got
+
+
+def parse_arc(source: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, body) of every record after the first, in time linear in the archive and memory for one record.
+
+    The first record says the version; a header line is split from its right end, as a URL may hold spaces; the body is as
+    long as declared, whatever it holds.
+    """
+    f, version = _stream(source), None
+    while line := f.readline():
+        if line in (b"\n", b"\r\n"):
+            continue
+        line = line.decode("utf-8", "replace").rstrip("\r\n")
+        body = _exactly(f, int(line.rsplit(" ", 1)[1]))
+        if version is None:
+            if not line.startswith("filedesc://"):
+                raise ValueError("an ARC file begins with a filedesc record")
+            version = int(body.split(b" ", 1)[0])
+            continue
+        names = FIELDS[version]
+        yield dict(zip(names, line.rsplit(" ", len(names) - 1), strict=True)), body
 
 
 def record_id(file: str, idx: int) -> str:
@@ -113,48 +115,61 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return gzip.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n", 1, mtime=0)
 
 
-def convert(arc_name: str, arc: bytes, revisits: dict[int, tuple[str, int, int | None]]) -> bytes:
-    """The equivalent WARC file; revisits: record number -> (file, number, page id) of the record with the same payload."""
-    out = [_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(arc_name, -1)), ("WARC-Date", warc_date(ARC_DATE)), ("WARC-Filename", arc_name.removesuffix(".arc.gz") + ".warc.gz"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")]
+def _split_http(body: bytes) -> tuple[bytes, bytes]:
+    """(head with the blank line that ends it, payload)"""
+    end = _BLANK.search(body)
+    return (body[: end.end()], body[end.end() :]) if end else (body, b"")
+
+
+def records(arc_name: str, arc: bytes | BinaryIO, revisits: dict[int, tuple[str, int, int | None]]) -> Iterator[bytes]:
+    """The equivalent WARC file, record by record; revisits: record number -> (file, number, page id) of the record with the same payload."""
+    yield _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(arc_name, -1)), ("WARC-Date", warc_date(ARC_DATE)), ("WARC-Filename", warc_name(arc_name)), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
     for idx, (f, body) in enumerate(parse_arc(arc)):
         url, kind = f["URL"], warc_type(f["URL"], body)
-        head, _, payload = body.partition(b"\r\n\r\n") if kind == "response" else (b"", b"", body)
+        head, payload = _split_http(body) if kind == "response" else (b"", body)
         h = [("WARC-Type", kind), ("WARC-Record-ID", record_id(arc_name, idx)), ("WARC-Date", warc_date(f["Archive-date"])), ("WARC-Target-URI", url), ("WARC-IP-Address", f["IP-address"]), ("WARC-Payload-Digest", _digest(payload)), ("WARC-X-Payload-Length", str(len(payload)))]
         if idx in revisits:
             file, number, page = revisits[idx]
             h[0] = ("WARC-Type", "revisit")
             h += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(file, number))]
             h += [("WARC-X-Refers-To-Page-Id", str(page))] if page is not None else []
-            body = head + b"\r\n\r\n"
+            body = head
         h += [("WARC-Block-Digest", _digest(body)), ("Content-Type", "application/http; msgtype=response" if kind == "response" else f["Content-type"])]
-        out.append(_record(h, body))
-    return b"".join(out)
+        yield _record(h, body)
+
+
+def convert(arc_name: str, arc: bytes | BinaryIO, revisits: dict[int, tuple[str, int, int | None]]) -> bytes:
+    return b"".join(records(arc_name, arc, revisits))
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    for member in _members(data):
-        at = 0
-        while at < len(member):
-            end = member.index(b"\r\n\r\n", at)
-            first, *lines = member[at:end].decode("utf-8", "replace").split("\r\n")
-            if not first.startswith("WARC/"):
-                raise ValueError("not a WARC record")
-            h = dict(x.split(": ", 1) for x in lines)
-            at = end + 4 + int(h["Content-Length"])
-            yield h, member[end + 4 : at]
-            at += 4
+def warc_name(arc_name: str) -> str:
+    return re.sub(r"\.arc(\.gz)?$", "", arc_name) + ".warc.gz"
+
+
+def parse_warc(source: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    f = _stream(source)
+    while line := f.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        h = {}
+        while (line := f.readline()) not in (b"\r\n", b""):
+            k, _, v = line.decode("utf-8", "replace").rstrip("\r\n").partition(": ")
+            h[k] = v
+        block = _exactly(f, int(h["Content-Length"]))
+        _exactly(f, 4)
+        yield h, block
 
 
 def _to_arc(out: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        task, seq, held, rows, size = TaskContext.get().partitionId(), 0, [], [], 0
+        task, attempt, seq, held, rows, size = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, [], [], 0
 
         def close() -> pd.DataFrame:
             nonlocal seq, held, rows, size
             version = 1 + (task + seq) % 2  # both versions occur
-            name = f"part-{task:06d}-{seq:06d}.arc.gz"
+            name = f"part-{task:06d}-{seq:06d}-{attempt}.arc.gz"
             write_file(f"{out}/{name}", arc_bytes(name, version, held))
             got = pd.DataFrame([r[1:] for r in rows], columns=["idx", "n_bytes", "digest"])
             got["page_id"], got["file"] = whole([r[0] for r in rows]), name
@@ -183,33 +198,61 @@ def _to_arc(out: str):
 
 def _to_warc(arcs: str, out: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        attempt = TaskContext.get().taskAttemptId()
         for b in batches:
             for name, revisits in zip(b["file"], b["revisits"], strict=True):
                 known = {r["idx"]: (r["best_file"], r["best_idx"], r["best_page"]) for r in (revisits if revisits is not None else [])}
-                made = name.removesuffix(".arc.gz") + ".warc.gz"
-                write_file(f"{out}/{made}", convert(name, read_file(f"{arcs}/{name}"), known))
+                made = f"{attempt}-{warc_name(name)}"
+                with open_file(f"{arcs}/{name}") as f:
+                    write_file(f"{out}/{made}", records(name, f, known))
                 yield pd.DataFrame({"file": [made]})
 
     return run
 
 
+def _page_of(head: bytes) -> int | None:
+    page = re.search(rf"^{ID_HEADER}: (-?\d+)\r?$", head.decode("latin-1"), re.MULTILINE)
+    return int(page[1]) if page else None
+
+
+def _listed(arcs: str):
+    """Manifest rows of archives that come without one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name in b["file"]:
+                rows = []
+                with open_file(f"{arcs}/{name}") as f:
+                    for idx, (head, body) in enumerate(parse_arc(f)):
+                        http, payload = _split_http(body) if warc_type(head["URL"], body) == "response" else (b"", body)
+                        rows.append((_page_of(http), idx, len(payload), hashlib.sha1(payload).digest(), name))
+                out = pd.DataFrame(rows, columns=["page_id", "idx", "n_bytes", "digest", "file"])
+                out["page_id"] = whole(out["page_id"].tolist())
+                yield out
+
+    return run
+
+
 def _from_warc(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name in b["file"]:
                 rows = []
-                for h, block in parse_warc(read_file(f"{path}/{name}")):
+                f = open_file(f"{path}/{name}")
+                for h, block in parse_warc(f):
                     if h["WARC-Type"] == "warcinfo":
                         continue
                     if _digest(block) != h["WARC-Block-Digest"]:
                         raise ValueError("a WARC record's block doesn't have its digest")
-                    head, _, payload = block.partition(b"\r\n\r\n")
+                    head, payload = _split_http(block) if h["Content-Type"].startswith("application/http") else (b"", block)
                     full = h["WARC-Type"] != "revisit"
                     if full and _digest(payload) != h["WARC-Payload-Digest"]:
                         raise ValueError("a WARC record's payload doesn't have its digest")
-                    page = re.search(rf"^{ID_HEADER}: (-?\d+)\r?$", head.decode("latin-1"), re.MULTILINE)
                     refers = h.get("WARC-X-Refers-To-Page-Id")
-                    rows.append((int(page[1]) if page else None, len(payload) if full else int(h["WARC-X-Payload-Length"]), base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex(), h["WARC-Type"], int(refers) if refers else None, h["WARC-Record-ID"], h.get("WARC-Refers-To"), h["WARC-Date"]))
+                    rows.append((_page_of(head), len(payload) if full else int(h["WARC-X-Payload-Length"]), base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex(), h["WARC-Type"], int(refers) if refers else None, h["WARC-Record-ID"], h.get("WARC-Refers-To"), h["WARC-Date"]))
+                f.close()
                 names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "date")
                 yield pd.DataFrame({c: whole(v) if c in ("page_id", "refers_to") else v for c, v in ((c, [r[i] for r in rows]) for i, c in enumerate(names))})
 
@@ -223,6 +266,13 @@ def pages_to_arc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: s
     return write_table(rows.mapInPandas(_to_arc(out), "page_id long, idx long, n_bytes long, digest binary, file string"), "arcs")
 
 
+def arc_manifest(spark: SparkSession, arcs: str) -> DataFrame:
+    """The manifest of a folder of ARC files (*.arc, *.arc.gz) of any origin; page_id from the page header, if a record has it."""
+    small_batches(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arc{,.gz}").load(arcs).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    return write_table(files.mapInPandas(_listed(arcs), "page_id long, idx long, n_bytes long, digest binary, file string"), "arcs")
+
+
 def arc_to_warc(manifest: DataFrame, arcs: str, out: str, least: int = LEAST_REVISIT) -> DataFrame:
     """Converts the manifest's ARC files; returns the WARC files' names.
 
@@ -249,7 +299,8 @@ def read_warcs(files: DataFrame, path: str) -> DataFrame:
 
 def pages_through_warc(pages: DataFrame, **columns: str) -> DataFrame:
     """pages as ARC, ARC as WARC, WARC read back. Null html is an empty payload, a null url about:blank, a null id none;
-    repeated rows are records of their own; an empty table gives no file and no row."""
+    repeated rows are records of their own; an empty table gives no file and no row. Ids are whole numbers, or strings of such;
+    other columns are not read."""
     spark = pages.sparkSession
     arcs, warcs = scratch_path(spark, "arc"), scratch_path(spark, "warc")
     return read_warcs(arc_to_warc(pages_to_arc(pages, arcs, **columns), arcs, warcs), warcs)
