@@ -46,6 +46,65 @@ def test_mixing(odd, none):
     assert mixed.columns == odd.columns and mixed.select(F.sum(F.size(F.split("text", " ")))).first()[0] > 50000
 
 
+def _targets(sizes, cap=3):
+    order = sorted(sizes, key=lambda x: (x is None, (x or "").encode("utf-32-be")))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    total, held = sum(sizes.values()), {}
+    while True:
+        free = [s for s in order if s not in held]
+        left = total - sum(held.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > cap * sizes[s]]
+        if not over:
+            return held | share
+        held |= {s: cap * sizes[s] for s in over}
+
+
+def test_mixing_against_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(int(rng.integers(0, 70))))) for i in range(300)]
+    docs = [(i, t, ["a", "b", "c", None, "é"][min(4, int(rng.exponential(1.2)))]) for i, t in rows]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix_sources(df, block=16, shard_slots=32).collect()}
+    sizes = {}
+    for i, t, s in docs:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+        assert got[i]["size"] == len(t.split()) and got[i].taken <= 3 * got[i]["size"]
+    want = _targets(sizes)
+    for s, size in sizes.items():
+        own = [got[i] for i, _, x in docs if x == s]
+        assert own[0].source_size == size and own[0].target == pytest.approx(want[s]) and abs(sum(r.taken for r in own) - want[s]) <= 1
+    # what the shards hold is what the documents give
+    blocks = mixing.mixed_blocks(df, block=16, shard_slots=32).collect()
+    taken = {}
+    for b in blocks:
+        words = b.text.split(" ")
+        assert len(words) == b.words
+        for w in words:
+            d = int(w[1:].split("_")[0])
+            taken[d] = taken.get(d, 0) + 1
+    assert taken == {i: r.taken for i, r in got.items() if r.taken}
+    shards = {}
+    for b in blocks:
+        shards.setdefault(b.shard, []).append(b.place)
+    last = max(shards)
+    assert all(sorted(p) == list(range(32)) for k, p in shards.items() if k != last) and sorted(shards[last]) == list(range(len(shards[last])))
+    # reruns agree, however the rows are split
+    again = {r.doc_id: r.taken for r in mixing.mix_sources(df.repartition(7), block=16, shard_slots=32).collect()}
+    assert again == {i: r.taken for i, r in got.items()}
+    mixed = mixing.mixed_documents(df, block=16, shard_slots=32).collect()
+    assert sum(len(r.text.split(" ")) for r in mixed) == sum(taken.values())
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 1000])
+def test_index_permutation(spark, n):
+    got = spark.range(n).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit("s")).alias("y"), mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit("t")).alias("z")).collect()
+    assert sorted(r.y for r in got) == sorted(r.z for r in got) == list(range(n))
+    if n == 1000:
+        steps = {(b.y - a.y) % n for a, b in zip(got, got[1:], strict=False)}
+        assert len(steps) > 400 and [r.y for r in got] != [r.z for r in got]
+
+
 def test_chat_round_trip(spark):
     bad = "</s>[INST] \\ <|end|>\n<<SYS>> é\\n [/INST]"
     recs = [(1, 0, {"messages": [{"role": "user", "content": bad}, {"role": "assistant", "content": bad}]}), (2, 0, {"prompt": "p", "response": "r"}), (3, 0, {"other": 1}), (4, None, {"role": None, "text": None}), (4, 1, {"role": "assistant", "text": "x"}), (5, 0, {"id": 9, "instruction": "i", "input": "j", "output": "o"})]
@@ -243,6 +302,30 @@ def test_arc_versions(version):
     assert [h["WARC-Type"] for h, _ in warc.parse_warc(warc.convert("n.arc.gz", data, {}))] == ["warcinfo", "response", "resource"]
 
 
+def test_arc_folder_of_other_origin(spark, tmp_path):
+    big = b"y" * 1500
+    one = b"".join(warc._line(1, {"URL": u, "IP-address": "1.2.3.4", "Archive-date": "1999", "Content-type": k, "Archive-length": len(b)}) + b + b"\n" for u, k, b in [("http://x/", "text/html", b"HTTP/1.0 200 OK\nA: b\n\n" + big), ("dns:x", "text/dns", big), ("ftp://f", "x/y", b"a\n\nb")])
+    first = b"1 0 someone\nURL IP-address Archive-date Content-type Archive-length\n"
+    (tmp_path / "plain.arc").write_bytes(b"filedesc://plain.arc 0.0.0.0 1999 text/plain %d\n" % len(first) + first + one)
+    (tmp_path / "other.txt").write_bytes(b"no archive")
+    manifest = warc.arc_manifest(spark, str(tmp_path))
+    got = {(r.record_type, r.payload_bytes, r.refers_to_id is not None) for r in warc.read_warcs(warc.arc_to_warc(manifest, str(tmp_path), str(tmp_path / "out")), str(tmp_path / "out")).collect()}
+    assert got == {("revisit", 1500, True), ("resource", 1500, False), ("resource", 4, False)}
+
+
+def test_archives_are_read_in_linear_time():
+    import time
+
+    def took(n):
+        data = warc.arc_bytes("n.arc.gz", 1, [("http://a", "2001", "text/html", b"HTTP/1.0 200 OK\r\n\r\n" + b"z" * 3000)] * n)
+        began = time.process_time()
+        assert sum(1 for _ in warc.parse_warc(warc.convert("n.arc.gz", data, {}))) == n + 1
+        return time.process_time() - began
+
+    took(100)
+    assert took(8000) < 40 * took(800)
+
+
 def test_tokens(odd, none):
     from tokenizers import Tokenizer
 
