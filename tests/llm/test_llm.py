@@ -351,3 +351,26 @@ def test_bit_packing(bits):
     assert (tokens.unpack(tokens.pack(x, bits), len(x), bits) == x).all()
     f = tokens.TokenFile(tokens.to_file([5, None], [9000, 10_001], x, bits))
     assert (f.doc(1) == x[9000:]).all() and (f.slice(4090, 4100) == x[4090:4100]).all() and f.doc_ids == [5, None]
+
+
+def test_quality_stage_changes_no_value(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "plain words here", 5, "x", 1), (None, None, None, None, 2), (3, "more of it", 4, "y", 3), (3, "more of it", 4, "y", 3)], "doc_id long, text string, n_chars long, label string, rank int")
+    labels = spark.createDataFrame([(big, 1), (3, 0), (3, 1), (None, 1), (9, None)], "doc_id long, quality int")
+    m = quality.train(docs, labels)
+    assert sorted(map(repr, quality.keep_good(docs, m, threshold=0.0).collect())) == sorted(map(repr, docs.collect()))
+    assert quality.keep_good(docs, m, threshold=1.1).count() == 0 and quality.keep_good(docs.limit(0), m).columns == docs.columns
+
+
+def test_stages_tell_rows_apart_by_id_and_text(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(4, words, "a"), (5, words, "b"), (5, "a text of its own that nothing else is like", "c"), (None, words + " end", "d"), (None, "again one of its own, quite unlike", "e"), (None, "again one of its own, quite unlike", "f"), (7, "", "g"), (7, "", "h")], "doc_id long, body string, component_id string")
+    kept = [r.component_id for r in jaccard.keep_one(docs, jaccard.jaccard_classes(docs, text_col="body"), text_col="body").collect()]
+    assert sorted(kept) in (["a", "c", "e", "g", "h"], ["a", "c", "f", "g", "h"])
+    alone = spark.createDataFrame([(None, words), (None, words + " end"), (None, "x")], "doc_id long, text string")
+    assert {r.text for r in jaccard.keep_one(alone, jaccard.jaccard_classes(alone)).collect()} in ({words, "x"}, {words + " end", "x"})
+    bench = spark.createDataFrame([("i1", words), ("i1", "another text under the same name of an item here"), (None, "x")], "item_id string, text string")
+    more = docs.unionByName(spark.createDataFrame([(8, "he said another text under the same name of an item here", "i")], docs.schema))
+    found = decontam.decontaminate(more, bench, text_col="body")
+    assert sorted((r.doc_id or 0, r.item_id) for r in found.collect()) == [(0, "i1"), (4, "i1"), (5, "i1"), (8, "i1")]
+    assert sorted(r.component_id for r in decontam.keep_clean(more, found, text_col="body").collect()) == ["c", "e", "f", "g", "h"]

@@ -77,6 +77,13 @@ def uid() -> Column:
     return F.monotonically_increasing_id()
 
 
+def row_name(id_col: str, text_col: str) -> Column:
+    """Tells rows apart by id and text, whatever the id's type, nulls and repeated ids included: a struct, equal for equal rows only
+    (but for a chance collision of 64-bit hashes under one id)."""
+    i = F.col(id_col).cast("string")
+    return F.struct(i.alias("id"), F.xxhash64(i, F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """Left join of rows with one row per key, whatever the skew of the keys.
 

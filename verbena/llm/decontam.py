@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_with_keys, write_table
+from .common import row_name, rows_with_keys, write_table
 from .files import small_batches
 
 SEED_WORDS = 5
@@ -29,13 +29,15 @@ def tokens(text: str) -> list[str]:
 
 
 class Seeds:
-    """The n-grams of a block of items: word numbers, and for each n-gram's hash its (item, place) list."""
+    """The n-grams of a block of items: word numbers, and for each n-gram its (item, place) list. Items are numbered, as two of
+    them may have one id; names has the ids."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int = SEED_WORDS) -> None:
+    def __init__(self, items: list[tuple[str, str]], n: int = SEED_WORDS) -> None:
         self.vocab: dict[str, int] = {}
+        self.names = [name for name, _ in items]
         self.items: dict[int, np.ndarray] = {}
         self.grams: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {}
-        for item, text in items:
+        for item, (_, text) in enumerate(items):
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in tokens(text)]
             if ids:
                 self.items[item] = np.array(ids, np.int32)
@@ -102,7 +104,7 @@ def _find(shared, threshold: float):
         aligned: dict[tuple[int, bytes], tuple[float, int, int]] = {}
         for b in batches:
             rows = []
-            for doc, text in zip(b["id"].tolist(), b["text"].tolist(), strict=True):
+            for doc, key, text in zip(b["id"].tolist(), b["key"].tolist(), b["text"].tolist(), strict=True):
                 words = tokens(text)
                 ids = np.fromiter((number(w, 0) for w in words), np.int32, len(words))
                 for item, found in seeds.hits(ids).items():
@@ -121,15 +123,15 @@ def _find(shared, threshold: float):
                         # an alignment matches no more words than the window has of the item, so this loses nothing
                         if np.isin(own, window).sum() / size < threshold:
                             continue
-                        key = (item, window.tobytes())
-                        if key not in aligned:
+                        pair = (item, window.tobytes())
+                        if pair not in aligned:
                             if len(aligned) >= REMEMBERED:
                                 aligned.clear()
-                            aligned[key] = align(own, window)
-                        score, start, end = aligned[key]
+                            aligned[pair] = align(own, window)
+                        score, start, end = aligned[pair]
                         if score >= threshold:
-                            rows.append((doc, item, score, lo + start, lo + end))
-            yield pd.DataFrame(rows, columns=["id", "item_id", "score", "start_word", "end_word"])
+                            rows.append((doc, key, seeds.names[item], score, lo + start, lo + end))
+            yield pd.DataFrame(rows, columns=["id", "key", "item_id", "score", "start_word", "end_word"])
 
     return run
 
@@ -147,32 +149,39 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Contaminated documents: rows (id, item_id, score, start_word, end_word), the best place of each pair.
+    """Contaminated documents: rows (id, item_id, score, start_word, end_word, row_key), the best place of each document and item.
 
     Words are runs of letters and digits, lower-cased. Seeds are the items' n-grams of five words (of shorter items, the
     whole item). An edited copy with one intact seed is aligned, however many texts have the seed, unless its words show
-    that the threshold can't be met, and reported when its score reaches the threshold. Null texts and items without words match nothing; null ids pass through; repeated items
-    and rows match each for itself. The benchmark goes through in blocks of bounded size, each broadcast; the
-    documents are read once a block and never shuffle, only what was found does.
+    that the threshold can't be met, and reported when its score reaches the threshold. What is rare saves work, but never
+    decides: a window, of which common seeds give many alike, is aligned once by a task. Null texts, items without id or
+    text, and items without words match nothing; items with one id and several texts count for each text; rows with null
+    or repeated ids are told apart by row_key (a hash of id and text), and equal rows are one. Empty documents or an empty
+    benchmark give no rows; other columns are not read. Ids may have any type. The benchmark goes through in
+    blocks of bounded size, each broadcast; the documents are read once a block and never shuffle, only what was found does.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long"), item_text_col).distinct().orderBy(item_col, item_text_col)
-    out = None
+    rows = docs.select(row_name(id_col, text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("row.id", "row.key", "text")
+    items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).distinct().orderBy("item", "text")
+    out = spark.createDataFrame([], "id string, key long, item_id string, score double, start_word long, end_word long")
     for block in _blocks(items):
         shared = spark.sparkContext.broadcast(Seeds(block))
-        got = write_table(rows.mapInPandas(_find(shared, threshold), "id string, item_id long, score double, start_word long, end_word long"), "hits")
-        best = got.groupBy("id", "item_id").agg(F.max(F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("b"))
-        part = best.select(F.col("id").cast("long").alias("id"), "item_id", "b.score", (-F.col("b.col2")).alias("start_word"), (-F.col("b.col3")).alias("end_word"))
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = spark.createDataFrame([], "id long, item_id long, score double, start_word long, end_word long")
-    return out.withColumnRenamed("id", id_col)
-
-
-def keep_clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows whose id isn't among the found ones; only rows that a Bloom filter of those ids lets through shuffle."""
-    ids = write_table(found.select(id_col).distinct(), "found")
-    flagged, free = rows_with_keys(docs, ids, id_col, max(1, ids.count()))
-    return free.unionByName(flagged.join(ids, id_col, "left_anti").select(docs.columns))
+        got = write_table(rows.mapInPandas(_find(shared, threshold), out.schema), "hits")
+        shared.unpersist()
+        best = got.groupBy("id", "key", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("start"), (-F.col("end_word")).alias("end"))).alias("b"))
+        out = out.union(best.select("id", "key", "item_id", "b.score", (-F.col("b.start")).alias("start_word"), (-F.col("b.end")).alias("end_word")))
+    kind = lambda df, c: df.schema[c].dataType
+    return out.select(F.col("id").cast(kind(docs, id_col)).alias(id_col), F.col("item_id").cast(kind(benchmark, item_col)).alias("item_id"), "score", "start_word", "end_word", F.col("key").alias("row_key"))
+
+
+def keep_clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that aren't among the found ones of the same docs; only rows that a Bloom filter lets
+    through shuffle. Rows are told apart by id and text, so rows without id go too if they were found, and a repeated id
+    loses none of its clean texts. Nothing found, or empty docs: docs as they are."""
+    if "__row" in docs.columns:
+        raise ValueError("reserved column: __row")
+    bad = write_table(found.select(F.struct(F.col(id_col).cast("string").alias("id"), F.col("row_key").alias("key")).alias("__row")).distinct(), "found")
+    flagged, free = rows_with_keys(docs.withColumn("__row", row_name(id_col, text_col)), bad, "__row", max(1, bad.count()))
+    columns = [f"`{c}`" for c in docs.columns]
+    return free.select(columns).unionByName(flagged.join(bad, "__row", "left_anti").select(columns))

@@ -139,20 +139,24 @@ def _extract(metadata: int):
     return run
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, metadata: tuple[str, ...], *more: F.Column) -> DataFrame:
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(metadata)), *more)
+def _rows(docs: DataFrame, id_col: str, text_col: str, metadata: tuple[str, ...]) -> DataFrame:
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(metadata)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = ("n_chars",), sample: int = SAMPLE) -> Machine:
-    """Learns from at most sample labelled rows, the first by a hash of their id; of repeated labels the largest counts.
+    """Learns from at most sample labelled rows, the first by a hash of their id; of repeated labels the largest counts, and of
+    documents with one id the text with the smallest hash.
 
-    The ids are chosen from labels alone, so that only their texts meet the broadcast sample. Null labels teach nothing.
+    The ids are chosen from labels alone, so that only their texts meet the broadcast sample. Null labels and ids teach
+    nothing; no labels give a machine that scores a half. Other columns, whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
-    chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("double").alias("label"))
-    chosen = chosen.withColumn("rank", F.xxhash64("label_id")).orderBy("rank", "label_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["label_id"]).select(docs["*"], "label", "rank")
-    got = _rows(rows, id_col, text_col, metadata, F.col("label"), F.col("rank")).mapInPandas(_extract(len(metadata)), "label double, rank long, idx binary, x binary").toPandas().sort_values(["rank", "idx"])
+    chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("id")).agg(F.max(label_col).cast("double").alias("label"))
+    chosen = chosen.withColumn("rank", F.xxhash64("id")).orderBy("rank", "id").limit(sample)
+    known = _rows(docs, id_col, text_col, metadata).join(F.broadcast(chosen), "id")
+    rest = [c for c in known.columns if c not in ("id", "label", "rank")]
+    one = known.groupBy("id", "label", "rank").agg(F.min(F.struct(F.xxhash64("text").alias("h"), *rest)).alias("x")).select("id", "label", "rank", "x.*").drop("h")
+    got = one.mapInPandas(_extract(len(metadata)), "label double, rank long, idx binary, x binary").toPandas().sort_values(["rank", "idx"])
     parts = [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float)) for i, x in zip(got["idx"], got["x"], strict=True)]
     return fit(parts, got["label"].to_numpy(float), n_features(len(metadata)))
 
@@ -181,21 +185,21 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     return got.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
-def _filter(shared, text_col: str, metadata: tuple[str, ...], threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text", metadata: tuple[str, ...] = ("n_chars",), threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that score at or above the threshold. Only the text and the metadata go to Python, so no
+    other value changes. Null texts are empty ones and are scored, null metadata have a bin of their own, repeated rows
+    stay or go together, and an empty table gives no rows."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))
+
+    @F.pandas_udf("boolean")
+    def good(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         m = Machine(*shared.value)
-        for b in batches:
-            own = pd.DataFrame({"text": b[text_col].fillna("")} | {f"m{i}": pd.to_numeric(b[c], errors="coerce").to_numpy() for i, c in enumerate(metadata)})
-            keep = np.zeros(len(b), bool)
+        for text, *meta in batches:
+            own = pd.DataFrame({"text": text} | {f"m{i}": x for i, x in enumerate(meta)})
+            keep = np.zeros(len(own), bool)
             for s, rows in _batches(own, len(metadata)):
                 keep[s] = [m.score(*r) >= threshold for r in rows]
-            yield b[keep]
+            yield pd.Series(keep)
 
-    return run
-
-
-def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text", metadata: tuple[str, ...] = ("n_chars",), threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, with all their columns, that score at or above the threshold."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))
-    return docs.mapInPandas(_filter(shared, text_col, metadata, threshold), docs.schema)
+    return docs.filter(good(F.coalesce(F.col(text_col), F.lit("")), *(F.col(c).cast("double") for c in metadata)))
