@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,23 +26,37 @@ UNKNOWN = "und"
 _NOISE = re.compile(r"[\W\d_]+")
 
 
+@lru_cache(maxsize=None)
+def _odd_numbers() -> re.Pattern:
+    """Fractions, superscripts, Roman numerals and the like: neither letters nor digits of ``_NOISE``."""
+    return re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
+
+
 def plain(text: str) -> str:
-    """Letters only, lower-case, runs of anything else as one space."""
-    return _NOISE.sub(" ", text.lower()).strip()
+    """Letters (as str.isalpha has them) only, lower-case, runs of anything else as one space."""
+    out = _NOISE.sub(" ", text.lower())
+    return (out if out.isascii() else _odd_numbers().sub(" ", out)).strip()
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: F.Column | None = None) -> dict[str, bytes]:
-    """Language -> dictionary, from the SAMPLE_DOCS texts of each language that come first by the order column (a hash of
-    the text unless given). One pass with a bounded aggregate; null texts or languages teach nothing."""
-    text = F.substring(F.col(text_col), 1, SAMPLE_CHARS)
-    held = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    """Language -> dictionary, from the SAMPLE_DOCS different texts of each language that come first by the order column (a hash
+    of the text unless given), of each its first SAMPLE_CHARS characters; of these the last DICT_BYTES bytes stay.
+
+    First the places of the sample are found among distinct hashes, so that copies don't take several; then their texts are
+    fetched. Null texts or languages teach nothing; an empty table gives no language.
+    """
     rank = F.xxhash64(text_col) if order is None else order
-    top = InternalFunction.collect_top_k(F.struct(rank.alias("rank"), text.alias("text")), SAMPLE_DOCS, False)
+    held = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), rank.alias("rank"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
+    top = InternalFunction.collect_top_k(F.col("rank"), SAMPLE_DOCS, False)
+    last = held.select("lang", "rank").distinct().groupBy("lang").agg(F.array_max(top).alias("last"))
+    few = held.join(F.broadcast(last), "lang").filter("rank <= last").groupBy("lang", "rank").agg(F.min("text").alias("text"))
+    texts: dict[str, list[tuple]] = {}
+    for row in few.collect():  # SAMPLE_DOCS a language at most
+        texts.setdefault(row["lang"], []).append((row["rank"], row["text"]))
     out = {}
-    for row in held.groupBy(F.col(lang_col).alias("lang")).agg(top.alias("top")).collect():
-        sample = " ".join(p for p in (plain(t["text"]) for t in sorted(row["top"])) if p)
-        if sample:
-            out[row["lang"]] = sample.encode()[-DICT_BYTES:]
+    for lang, own in texts.items():
+        if sample := " ".join(p for p in (plain(t) for _, t in sorted(own)) if p):
+            out[lang] = sample.encode("utf-8", "surrogatepass")[-DICT_BYTES:]
     return out
 
 
@@ -87,7 +103,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     """One row per input row: id, lang_pred, score (0 to 1), rejected (narrow margin). No shuffle.
 
     Whole texts, in pieces. A text that is null or without letters is `und`; ties go to the first language by name; null
-    and repeated ids pass through; an empty table gives an empty result.
+    and repeated ids pass through; an empty table gives an empty result; other columns are not read.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
