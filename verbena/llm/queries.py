@@ -12,6 +12,8 @@ from .common import read, write_table
 from .langid import held_out
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Whose whole words, by frequency, are op8's dictionary.
+WORDS = "word_bpe_49k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -63,7 +65,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_scan(read(spark, sf_dir, "documents"))
+    return secrets.secret_scan(read(spark, sf_dir, "documents"), words=tokenizer_path(WORDS))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

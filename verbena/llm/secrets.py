@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,7 +36,7 @@ _WORDS = "password secret token admin user login welcome changeme example test d
 # longer words of prose, after those
 _WORDS += "required optional changed expired invalid incorrect missing unknown disabled enabled protected encrypted provided generated username authentication authorization authorized unauthorized credentials permission permissions security management manager service services application applications information configuration settings environment variable variables development production documentation description available important different following additional administrator successful successfully sensitive confidential something anything everything nothing whatever somewhere someone everyone undefined redacted placeholder sample customer international government university american national community education business research technology experience including according together children question problem president position condition operation relation function structure standard material personal economic political industry increase activity building religion decision direction discussion situation interest organization association communication transaction validation verification certificate identity identifier reference response request requirements resource repository container kubernetes connection interface procedure process processing program programming language character characters sentence paragraph document documents message messages passwords passphrase passcode bearer authority author authors ingredient ingredients recovery rotation rotated revoked accepted rejected forgotten remember recommended temporary permanent minimum maximum uppercase lowercase alphanumeric special combination beginning understand understanding themselves themself yourself ourselves another through without between because although however therefore usually probably certainly especially actually generally possible impossible necessary difference knowledge literature history medicine mountain yesterday tomorrow afternoon breakfast christmas september november december february wednesday thursday saturday".split()
 _RANK = {w: i + 1 for i, w in enumerate(_WORDS)}
-_LONGEST = max(map(len, _WORDS))
+_LONGEST = 16
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _NEXT = {}
 for _r, _row in enumerate(_ROWS):
@@ -48,11 +50,23 @@ _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|
 _LEET = str.maketrans("@4301!5$7", "aaeoilsst")
 
 
+def word_ranks(path: str | None = None) -> dict[str, int]:
+    """Ranks of words: the common ones of passwords first, then the whole words of a tokenizer's vocabulary (a file of the
+    tokenizers library, of a kind that marks word ends), whose order is that of their frequency in its training texts."""
+    if path is None:
+        return _RANK
+    model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+    end = model.get("end_of_word_suffix") or ""
+    known = sorted((i, t.removesuffix(end)) for t, i in model["vocab"].items() if t.endswith(end))
+    words = [w for _, w in known if 3 <= len(w) <= _LONGEST and w.isalpha() and w.islower()]
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*_WORDS, *words]))}
+
+
 def _alphabet(s: str) -> int:
     return max(10, 10 * bool(re.search(r"\d", s)) + 26 * bool(re.search("[a-z]", s)) + 26 * bool(re.search("[A-Z]", s)) + 33 * bool(re.search("[^A-Za-z0-9]", s)))
 
 
-def guesses(value: str, enough: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
+def guesses(value: str, enough: float = math.inf, ranks: dict[str, int] = _RANK) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses of the cheapest segmentation, and the segments (kind, start, end).
 
     best[j] is the least cost of the first j characters: a segment i..j is a word (its rank; more for capitals and
@@ -85,7 +99,7 @@ def guesses(value: str, enough: float = math.inf) -> tuple[float, list[tuple[str
                 break
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             for form, extra in ((low, 0.0), (leet, 0.6)):
-                if rank := _RANK.get(form[i:j]):
+                if rank := ranks.get(form[i:j]):
                     put(j, math.log10(rank + 1) + extra + 0.3 * (s[i:j] != low[i:j]), "word")
         if m := _DATE.match(s, i):
             put(m.end(), math.log10(130 * 365 if m.end() - i > 4 else 130), "date")
@@ -128,14 +142,14 @@ def guesses(value: str, enough: float = math.inf) -> tuple[float, list[tuple[str
     return best[n][0], segments[::-1]
 
 
-def _secret(value: str, explicit: bool, threshold: float) -> bool:
+def _secret(value: str, explicit: bool, threshold: float, ranks: dict[str, int]) -> bool:
     if explicit or re.search(r"\d", value):
-        return guesses(value, threshold)[0] >= threshold
+        return guesses(value, threshold, ranks)[0] >= threshold
     more = threshold + BARE_MORE
-    return any(guesses(part, more)[0] >= more for part in _PARTS.findall(value) if len(part) >= 6)
+    return any(guesses(part, more, ranks)[0] >= more for part in _PARTS.findall(value) if len(part) >= 6)
 
 
-def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
+def scan(text: str, threshold: float = THRESHOLD, ranks: dict[str, int] = _RANK) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, by start, then kind as listed, then end."""
     if not _ANY.search(text):
         return []
@@ -147,7 +161,7 @@ def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
         value = m[3].rstrip(".)]}!?:&*#$%")
         explicit = bool(m[2]) or (m[1] or "is").lower() != "is"
         at = m.end()
-        if len(value) >= 6 and _secret(value, explicit, threshold):
+        if len(value) >= 6 and _secret(value, explicit, threshold, ranks):
             out.append(("guess", m.start(3), m.start(3) + len(value)))
         elif not explicit and (inner := re.search("[:=]", m[3])):
             # prose may hold an explicit context
@@ -159,10 +173,10 @@ def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _scan_all(threshold: float):
+def _scan_all(threshold: float, ranks):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [scan(t, threshold) for t in b["text"]]
+            found = [scan(t, threshold, ranks.value) for t in b["text"]]
             base = [[x for x in f if x[0] != "guess"] for f in found]
             out = pd.DataFrame({"id": b["id"]})
             for kind in KINDS[:3]:
@@ -175,13 +189,15 @@ def _scan_all(threshold: float):
     return run
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: str | None = None) -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_guess. No shuffle.
 
-    Null and empty texts have no spans; null and repeated ids pass through; an empty table gives an empty result.
+    words: the path, on the driver, of the vocabulary that `word_ranks` takes (some ten thousand words, broadcast); without it
+    a short list serves. Null and empty texts have no spans; null and repeated ids pass through; an empty table gives an
+    empty result; other columns are not read.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = rows.mapInPandas(_scan_all(threshold), "id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
+    got = rows.mapInPandas(_scan_all(threshold, docs.sparkSession.sparkContext.broadcast(word_ranks(words))), "id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
     return got.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
