@@ -118,7 +118,7 @@ def test_chat_round_trip(spark):
 def test_secrets(odd, none):
     text = "x password = \"hunter2x\" and API_KEY: 'AKIA" + "Q" * 16 + "' token=abc secret:" + "0f" * 12 + " pwd: 9xQ!r7Lm2Zt8"
     spans = secrets.scan(text)
-    assert [k for k, *_ in spans] == ["assign", "assign", "access", "assign", "hex", "guess"] or {"assign", "access", "hex", "guess"} == {k for k, *_ in spans}
+    assert [k for k, *_ in spans if k != "guess"] == ["assign", "assign", "access", "assign", "hex"] and ("guess", len(text) - 12, len(text)) in spans
     want = [(m.start(), m.end()) for m in re.finditer(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
     assert [(a, b) for k, a, b in spans if k == "assign"] == want
     assert secrets.guesses("password")[0] < 2 < secrets.guesses("qwertyuiop")[0] < secrets.guesses("v8Kq2Lz9Xw")[0] and secrets.guesses("")[0] == 0
@@ -374,3 +374,96 @@ def test_stages_tell_rows_apart_by_id_and_text(spark):
     found = decontam.decontaminate(more, bench, text_col="body")
     assert sorted((r.doc_id or 0, r.item_id) for r in found.collect()) == [(0, "i1"), (4, "i1"), (5, "i1"), (8, "i1")]
     assert sorted(r.component_id for r in decontam.keep_clean(more, found, text_col="body").collect()) == ["c", "e", "f", "g", "h"]
+
+
+def _cheapest(value, ranks):
+    """Least cost over all segmentations, each segment priced by itself."""
+    from functools import lru_cache
+
+    low, leet, each = value.lower(), value.lower().translate(secrets._LEET), np.log10(secrets._alphabet(value))
+
+    def price(i, j):
+        n, options = j - i, [((j - i) * each, "brute")]
+        for form, extra in ((low, 0.0), (leet, 0.6)):
+            if n >= 3 and form[i:j] in ranks:
+                options.append((np.log10(ranks[form[i:j]] + 1) + extra + 0.3 * (value[i:j] != low[i:j]), "word"))
+        if (m := secrets._DATE.match(value, i)) and m.end() == j:
+            options.append((np.log10(130 * 365 if n > 4 else 130), "date"))
+        if n >= 4 and all(low[k] in secrets._NEXT.get(low[k - 1], ()) for k in range(i + 1, j)):
+            turns = sum(ord(low[k]) - ord(low[k - 1]) != ord(low[k - 1]) - ord(low[k - 2]) for k in range(i + 2, j))
+            options.append((np.log10(47 * n) + 0.3 * turns, "walk"))
+        steps = {ord(value[k]) - ord(value[k - 1]) for k in range(i + 1, j)}
+        if n >= 4 and steps in ({1}, {-1}):
+            options.append((np.log10(40 * n), "walk"))
+        for unit in range(1, min(8, n // 2) + 1):
+            if n % unit == 0 and value[i:j] == value[i : i + unit] * (n // unit) and n // unit >= (3 if unit == 1 else 2):
+                options.append((unit * each + np.log10(n // unit), "repeat"))
+        return options
+
+    @lru_cache(maxsize=None)
+    def best(j, last):
+        if j == 0:
+            return 0.0
+        found = []
+        for i in range(j):
+            for cost, kind in price(i, j):
+                if not (kind == "brute" and last == "brute"):
+                    found.append(best(i, kind) + cost + 0.3 * (i > 0))
+        return min(found, default=np.inf)
+
+    return best(len(value), "")
+
+
+@pytest.mark.parametrize("value", ["password1987-05-12", "P@ssword", "qwertyuiop12", "aaaaaaab", "abcabcabc1", "xK9#dragon", "12345678", "zyxwvu77", "Secret2020login", "v8Kq2Lz9Xw", "a", "letmein!letmein!"])
+def test_guess_cost_against_all_segmentations(value):
+    assert secrets.guesses(value)[0] == pytest.approx(_cheapest(value, secrets._RANK))
+
+
+def test_words_of_a_vocabulary():
+    ranks = secrets.word_ranks(queries.tokenizer_path(queries.WORDS))
+    assert len(ranks) > 20_000 and ranks["password"] == 1 and secrets.guesses("umbrellagiraffe", ranks=ranks)[0] < 11 < secrets.guesses("umbrellagiraffe")[0]
+    assert secrets.scan("pwd=umbrellagiraffe", ranks=ranks) == [] and secrets.scan("pwd=kXqWzRtPvLmN", ranks=ranks) == [("guess", 4, 16)]
+
+
+def test_numbers_are_no_letters(spark):
+    known = {"en": ("the and that with which from this have " * 300).encode(), "de": ("der und das nicht eine auch werden sich " * 300).encode()}
+    docs = spark.createDataFrame([(1, "\u00bd \u00b2"), (2, "\u2167"), (3, "\u2460 12 _"), (4, "the and that with\u00bd")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(docs, known).orderBy("doc_id").collect()] == ["und", "und", "und", "en"]
+
+
+def test_copies_take_one_place_of_the_sample(spark):
+    docs = spark.createDataFrame([(f"text number {chr(97 + i)}", "xx") for i in range(20)] + [("the same", "xx")] * 900, "text string, lang string")
+    got = langid.learn(docs)["xx"].decode()
+    assert got.count("the same") == 1 and got.count("text number") == 20
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = queries.op3_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 100 and sum(r.lang == r.lang_pred for r in got) > 0.9 * len(got)
+
+
+def test_quality_held_out(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = queries.op5_quality_fm(spark, "/root/testdata/sf0.01").join(labels, "doc_id").filter("held_out and quality is not null").collect()
+    assert len(got) > 20 and sum(r.predicted == r.quality for r in got) > 0.9 * len(got)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    clash = {c: F.lit(i) for i, c in enumerate(("label", "rank", "n", "key", "component_id", "row_key", "h", "place", "at", "item_id"))}
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([x[:5] for x in ODD], real.schema)
+    docs = real.unionByName(odd).withColumns(clash)
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        docs, before = p.write_table(stage(spark, docs, sf), name), docs
+        assert docs.columns == before.columns and 0 < docs.count()
+        if name in ("quality", "near_duplicates", "decontamination"):
+            assert docs.exceptAll(before).count() == 0  # rows go, none changes
+    last = p.STAGES[-1][1]
+    got = last(spark, docs, sf).orderBy("start").collect()
+    assert len(got) == docs.count() and [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    assert last(spark, docs.limit(0), sf).count() == 0
