@@ -24,7 +24,9 @@ BLOCK_IDS = 4096
 #: A file is closed after the document that brings it to so many ids.
 FILE_IDS = 2_000_000
 #: Chunks that a worker keeps the ids of, and characters of a batch, of which each chunk is looked up once.
-KNOWN, BATCH_CHARS = 600_000, 4_000_000
+KNOWN, BATCH_CHARS = 400_000, 4_000_000
+#: New chunks that the library gets at once: it holds some hundred bytes a token meanwhile.
+AT_ONCE = 20_000
 _HEAD = struct.Struct("<8sBQQQ")
 
 
@@ -143,14 +145,16 @@ class Encoder:
                     new[p[:-1]] = None
             else:
                 new[p] = None
-        if new:
-            text = " " + " ".join(new)
-            ids = np.array(self.tokenizer.encode_batch_fast([text.replace(" \n", "\n")], add_special_tokens=False)[0].ids, "<u4")
+        new = list(new)
+        for at in range(0, len(new), AT_ONCE):
+            own = new[at : at + AT_ONCE]
+            text = (" " + " ".join(own)).replace(" \n", "\n")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             first = np.flatnonzero(self.begins[ids])
-            if len(first) != len(new):
+            if len(first) != len(own):
                 raise ValueError("chunks don't begin where they should")
             held, cuts = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
-            self.known.update({p: held[cuts[k] : cuts[k + 1]] for k, p in enumerate(new)})
+            self.known.update(zip(own, [held[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
         for p in ended:
             self.known[p] = self.known[p[:-1]] + self.closed[p[-1]]
 
@@ -172,9 +176,11 @@ class Encoder:
             coded = parts.values.dictionary_encode()
             # one string and its split are quicker than a value at a time; no part has a space
             names = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ")
-            if new := [p for p in names if p not in self.known]:
-                self._learn(new)
-            own = list(map(self.known.__getitem__, names))
+            own = list(map(self.known.get, names))
+            if new := [i for i, ids in enumerate(own) if ids is None]:
+                self._learn([names[i] for i in new])
+                for i in new:
+                    own[i] = self.known[names[i]]
             size = np.fromiter(map(len, own), np.int64, len(own)) // 4
             place, which = np.cumsum(size) - size, coded.indices.to_numpy()
             n = size[which]
