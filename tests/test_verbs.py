@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,128 @@ def test_order_queries_return_all_rows(spark):
     counts = QUERIES["count_sort_all"](spark, sf_dir).orderBy("row_id").collect()
     assert len(counts) == spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey").distinct().count()
     assert [(-r.n, r.l_suppkey) for r in counts] == sorted((-r.n, r.l_suppkey) for r in counts)
+
+
+@pytest.fixture()
+def dotted(spark):
+    return tidy(spark.createDataFrame([("x", 1.0, 1), ("x", 3.0, 2), ("y", None, 3), (None, 2.0, 4)], "`g.h` string, `a.b` double, `i.d` int"))
+
+
+def test_every_verb_takes_dotted_names(dotted):
+    t, g = dotted, dotted.group_by("g.h")
+    assert t.select("a.b", **{"n.w": "i.d"}).df.columns == ["a.b", "n.w"] and t.rename(**{"q.r": "a.b"}).df.columns == ["g.h", "q.r", "i.d"]
+    assert t.pull("i.d") == [1, 2, 3, 4] and t.remove_rows_if_any_na("a.b").df.count() == 3 and t.remove_rows_if_all_na().df.count() == 4
+    assert [r[-1] for r in rows(g.mutate(**{"m.x": e.mean("a.b")}))].count(2.0) == 3 and t.filter(e.col("a.b") > 1).df.count() == 2
+    assert [r[0] for r in g.group_keys().df.collect()] == ["x", "y", None]
+    assert g.n_groups() == 3 and len(rows(g.group_data())) == 3 and len(rows(g.group_indices())) == 4 and len(g.group_split()) == 3
+    assert len(rows(t.nest_by("g.h"))) == 3 and len(rows(g.nest_by("i.d", add=True))) == 4
+    assert len(rows(g.summarise(**{"m.x": e.max("a.b")}))) == 3
+    assert len(rows(t.count("g.h", sort=True))) == 3 and len(rows(t.add_count("g.h", sort=True))) == 4 and len(rows(t.distinct("g.h", keep_all=True, order_by="i.d"))) == 3
+    assert len(rows(t.duplicates("g.h", add_count=True, drop_empty=True, order_by="i.d"))) == 1
+    for kind in (6, 7):
+        assert len(rows(t.quantiles("a.b", by="g.h", type=kind))) == 15 and len(rows(t.quantiles("a.b", type=kind, pivot="wide"))) == 1
+    for how in ("left", "right", "inner", "full", "semi", "anti"):
+        getattr(t, f"{how}_join")(t, by="g.h", **({"multiple": False, "order_by": "i.d"} if how == "left" else {})).df.collect()
+    assert len(rows(t.cross_join(t))) == 16 and len(rows(t.union(t))) == 4 and len(rows(bind_rows(t, t))) == 8
+    assert len(rows(t.add_group_id("g.h", name="k.k"))) == 4 and len(rows(t.add_group_id("g.h", order=False, order_by="i.d"))) == 4
+    assert len(rows(t.add_row_id("g.h", name="k.k", order_by="i.d"))) == 4 and len(rows(t.add_consecutive_id("g.h", name="k.k", order_by="i.d"))) == 4
+    assert [r["i.d"] for r in t.arrange(desc("a.b")).df.collect()] == [2, 4, 1, 3]
+    for x in (t.slice(2, order_by="i.d"), t.slice_head(1, order_by="i.d"), t.slice_tail(1, order_by="i.d"), t.slice_min("a.b"), t.slice_max("a.b"), t.slice_sample(1)):
+        assert len(rows(x)) == 1
+    assert len(rows(g.slice_sample(1, replace=True))) == 3 and len(rows(t.expand("g.h", "i.d"))) == 12 and len(rows(t.complete("g.h", "i.d", fill={"a.b": 0.0}))) == 12
+    assert [r[1] for r in rows(t.fill("a.b", order_by="i.d").arrange("i.d"))].count(3.0) == 2 and len(rows(g.fill("a.b", order_by="i.d"))) == 4
+    assert len(rows(v.bind_cols(t, t))) == 4 and len(rows(v.nesting(t, "g.h", "a.b"))) == 4 and len(rows(v.enframe(t))) == 3
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 1 << 20])
+def test_ordered_verbs_without_groups(spark, monkeypatch, stretch):
+    from verbena.operators import frame
+
+    monkeypatch.setattr(frame, "STRETCH", stretch)
+    x = [5.0, None, None, 2.0, 2.0, None, None, None, 7.0, 7.0, 1.0]
+    t = tidy(spark.createDataFrame(list(enumerate(x)), "i int, x double").repartition(3))
+    assert [r.x for r in t.fill("x", limit=2, order_by="i").df.orderBy("i").collect()] == [5, 5, 5, 2, 2, 2, 2, None, 7, 7, 1]
+    assert [r.x for r in t.fill("x", direction="backwards", order_by="i").df.orderBy("i").collect()] == [5, 2, 2, 2, 2, 7, 7, 7, 7, 7, 1]
+    assert [r.consecutive_id for r in t.add_consecutive_id("x", order_by="i").df.orderBy("i").collect()] == [1, 2, 2, 3, 3, 4, 4, 4, 5, 5, 6]
+    got = t.mutate(a=e.lag("x", 1, -1.0), b=e.lead("i", 2), n=e.row_number(), order_by="i").df.orderBy("i").collect()
+    assert [r.a for r in got] == [-1.0, *x[:-1]] and [r.b for r in got] == [*range(2, 11), None, None] and [r.n for r in got] == list(range(1, 12))
+
+
+def test_no_plan_takes_all_rows_to_one_task(spark):
+    t = tidy(spark.range(100).select(F.col("id"), (F.col("id") % 7).alias("x")))
+    many = [
+        t.mutate(m=e.mean("x"), n=e.n(), k=e.n_distinct("x")), t.mutate(r=e.row_number(), p=e.lag("x"), order_by="id"), t.filter(e.col("x") > e.mean("x")), t.add_count(), t.fill("x", order_by="id"),
+        t.slice(3, order_by="id"), t.slice_head(3, order_by="id"), t.slice_tail(prop=0.1, order_by="id"), t.slice_max("x", 2), t.slice_min("x", prop=0.2), t.slice_sample(5), t.quantiles("x", type=6), t.add_consecutive_id("x", order_by="id"),
+        t.distinct("x", keep_all=True, order_by="id"),
+    ]
+    for x in many:
+        windows = re.findall(r"Window \[(.*)", x.df._jdf.queryExecution().optimizedPlan().toString())
+        # without partition keys only a window over one row for each stretch is allowed
+        assert all("windowspecdefinition(__stretch" in w or "windowspecdefinition(x" in w for w in windows), windows
+        assert x.df.count() >= 1
+    plan = t.mutate(k=e.n_distinct("x"), by="id").df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
+
+
+def test_bind_cols_recycles(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "x int"), spark.createDataFrame([(9,)], "y int")
+    assert rows(v.bind_cols(a, b, z="k", w=[3, 4])) == [(1, 9, "k", 3), (2, 9, "k", 4)]
+    with pytest.raises(Exception, match="number of rows"):
+        v.bind_cols(a, b, recycle=False).df.collect()
+    assert rows(v.bind_cols(b, b)) == [(9, 9)]
+
+
+def test_optimisation_switch(nulls):
+    args = {k: getattr(e, k)("x") for k in ("sum", "prod", "mean", "median", "min", "max", "sd", "var")}
+    fast = rows(nulls.mutate(x=F.col("x") + F.col("i")).summarise(**args, by="g"))
+    v.disable_optimisations()
+    try:
+        slow = nulls.mutate(x=F.col("x") + F.col("i")).summarise(**args, by="g")
+        assert "lambda" in slow.df._jdf.queryExecution().optimizedPlan().toString()
+        assert [tuple(x for x in r if x is not None) for r in rows(slow)][:2] == [tuple(x for x in r if x is not None) for r in fast][:2]
+    finally:
+        v.enable_optimisations()
+
+
+def test_helpers_about_groups(spark, nulls):
+    got = nulls.summarise(id=e.cur_group_id(), at=e.cur_group_rows(), by="g").df.collect()
+    assert [(r.g, r.id, r.at) for r in got] == [("a", 1, [1, 2, 3]), ("b", 2, [4]), (None, 3, [5])]
+    assert v.group_by_order_default(nulls.group_by("g", order=False)) is False and v.group_by_order_default() is True
+    assert nulls.summarise(f=e.first("i"), l=e.last("i"), by="g", order_by=desc("i")).df.collect()[0][1:] == (3, 1)
+    with pytest.raises(ValueError):
+        e.cur_column()
+    assert "mod" in v.get_group_unaware_fns() and "+" not in v.get_group_unaware_fns()
+
+
+def test_whole_numbers_and_gamma(spark):
+    d = spark.createDataFrame([(2**53 + 1, 3), (-(2**53) - 1, 3), (7, -3), (7, 0)], "a long, b long")
+    got = [tuple(r) for r in d.select(s.mod(F.col("a"), F.col("b")), s.idiv(F.col("a"), F.col("b"))).collect()]
+    assert got == [((2**53 + 1) % 3, (2**53 + 1) // 3), ((-(2**53) - 1) % 3, (-(2**53) - 1) // 3), (-2, -3), (None, None)]
+    xs = [-1e6 - 0.5, -3.7, -0.5, 0.1, 0.5, 1.0, 2.5, 11.9, 170.0, 1e5, 1e12]
+    rows_ = spark.createDataFrame([(x,) for x in xs], "x double").select("x", s.lgamma(F.col("x")).alias("l"), s.gamma(F.col("x")).alias("g"), s.digamma(F.col("x")).alias("d"), s.trigamma(F.col("x")).alias("t")).collect()
+    for r in rows_:
+        assert r.l == pytest.approx(math.lgamma(r.x), rel=1e-10, abs=1e-12)
+        if -200 < r.x < 171:
+            assert r.g == pytest.approx(math.gamma(r.x), rel=1e-11)
+    assert rows_[5].d == pytest.approx(-0.5772156649015329) and rows_[5].t == pytest.approx(math.pi**2 / 6) and rows_[2].d == pytest.approx(0.03648997397857652)
+
+
+def test_stream(spark, tmp_path):
+    from verbena.streaming import windowed
+
+    path = "/root/testdata/sf0.001/events.parquet"
+    batch = spark.read.parquet(path)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.parquet").write_bytes(open(path, "rb").read())
+    made = lambda df: windowed(df, "ts", "1 day", "1 hour", "event_type", n=F.count(F.lit(1)))
+    query = made(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert rows(spark.table("windowed")) == rows(made(batch))
+
+
+def test_tables_with_unnamed_columns(spark):
+    assert v.new_tbl(spark, [1, 2], x=3).df.columns == ["col_1", "x"] and v.list_tidy(1, 2) == [1, 2] and v.list_tidy(1, a=2) == {"col_1": 1, "a": 2}
+    with pytest.raises(ValueError):
+        v.new_tbl(spark, [1], name_repair=False)
+    with pytest.raises(ValueError):
+        v.new_tbl(spark, x=[1, 2], y=3, recycle=False)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .functions import expressions, scalars
-from .functions.expressions import across, col, cur_group, first, if_all, if_any, lag, last, lead, max, mean, median, min, n, n_distinct, prod, row_number, sd, sum, var
+from .functions.expressions import (
+    across, c_across, col, cur_column, cur_data, cur_group, cur_group_id, cur_group_rows, first, group_function, if_all, if_any, lag, last, lead, max, mean, median, min, n, n_distinct, pick, prod, row_number, sd, sum, var,
+)
 from .functions.scalars import get_group_unaware_fns
 from .functions.selectors import all_of, any_of, contains, ends_with, everything, last_col, matches, nothing, num_range, span, starts_with, where
 from .operators.frame import Desc, Tidy, bind_cols, bind_rows, desc, tidy
-from .settings import disable_informative_msgs, disable_optimisations, enable_informative_msgs, enable_optimisations
+from .settings import disable_informative_msgs, disable_optimisations, enable_informative_msgs, enable_optimisations, group_by_order_default
 from .sources.tables import as_tbl, crossing, deframe, enframe, list_tidy, nesting, new_tbl
 
 _VERBS = (

@@ -10,10 +10,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import settings
+from ..plans.order import NUMBER, column, listed, null_safe, number, sort_key
+from .selectors import resolve
+
 
 @dataclass
 class Context:
-    """What an expression is built against: window: aggregates go over the group's rows; else they aggregate."""
+    """What an expression is built against: window: aggregates go over the group's rows; else they aggregate.
+
+    An expression may add hidden columns to df (names begin with two underscores), so df counts after building.
+    """
 
     df: DataFrame
     groups: list[str] = field(default_factory=list)
@@ -28,15 +35,45 @@ class Context:
         return F.nullif(column, F.lit(float("nan"))) if isinstance(self.kind(column), (T.DoubleType, T.FloatType)) else column
 
     def by(self) -> W:
-        return W.partitionBy(*self.groups) if self.groups else W.partitionBy(F.lit(1))
+        return W.partitionBy(*listed(self.groups))
 
     def over(self, aggregate: Column) -> Column:
-        return aggregate.over(self.by()) if self.window else aggregate
+        """Without groups a scalar subquery: a window over everything would take all rows to one task."""
+        if not self.window:
+            return aggregate
+        return aggregate.over(self.by()) if self.groups else self.df.agg(aggregate.alias("x")).scalar()
 
     def ordered(self) -> W:
+        self.needs_order()
+        return self.by().orderBy(*(k.sort for k in self.order))
+
+    def needs_order(self) -> None:
         if not self.order:
             raise ValueError("this expression depends on row order: give order_by")
-        return self.by().orderBy(*(k.sort for k in self.order))
+
+    def hidden(self, column: Column) -> Column:
+        name = f"__h{len(self.df.columns)}"
+        self.df = self.df.withColumn(name, column)
+        return F.col(name)
+
+    def place(self) -> Column:
+        """Each row's number, from 1, in the order: of its group or, distributed, of all rows."""
+        if self.groups:
+            return self.hidden(F.row_number().over(self.ordered()))
+        self.needs_order()
+        if NUMBER not in self.df.columns:
+            self.df = number(self.df, NUMBER, [k.sort for k in self.order])
+        return F.col(NUMBER)
+
+    def moved(self, value: Column, n: int, default: object) -> Column:
+        """The value n rows before (after, if negative). Without groups, by a join of row numbers."""
+        if self.groups:
+            return (F.lag(value, n, default) if n >= 0 else F.lead(value, -n, default)).over(self.ordered())
+        at = self.place()
+        name, there = f"__h{len(self.df.columns)}", f"__f{len(self.df.columns)}"
+        other = self.df.select((at + n).alias(NUMBER), value.alias(name), F.lit(True).alias(there))
+        self.df = self.df.join(other, NUMBER, "left")
+        return F.col(name) if default is None else F.when(F.col(there), F.col(name)).otherwise(F.lit(default))
 
 
 class Expr:
@@ -77,20 +114,35 @@ def build(x: object, c: Context) -> Column:
         return x.build(c)
     if isinstance(x, Column):
         return x
-    return F.col(f"`{x}`") if isinstance(x, str) else F.lit(x)
+    return column(x) if isinstance(x, str) else F.lit(x)
 
 
 def col(name: str) -> Expr:
-    return Expr(lambda c: F.col(f"`{name}`"))
+    return Expr(lambda c: column(name))
+
+
+def group_function(f: Callable, kind: str, *values: object) -> Expr:
+    """A Python function of a group's values (pandas series) that gives one value: an aggregate in summarise, repeated for all
+    rows in mutate. A group has to fit into a worker's memory."""
+
+    def go(c: Context) -> Column:
+        return c.over(F.pandas_udf(lambda *x: f(*x), kind, F.PandasUDFType.GROUPED_AGG)(*(build(v, c) for v in values)))
+
+    return Expr(go)
 
 
-def _aggregate(f: Callable[[Column], Column]) -> Callable[..., Expr]:
+def _aggregate(f: Callable[[Column], Column], plain: str) -> Callable[..., Expr]:
     def made(x: object, na_rm: bool = True) -> Expr:
-        """Missing values (null, NaN) are skipped; with na_rm=False one of them makes the result null."""
+        """Missing values (null, NaN) are skipped; with na_rm=False one of them makes the result null. With optimisations
+        switched off the same runs in pandas, group by group."""
 
         def go(c: Context) -> Column:
             v = c.known(build(x, c))
-            got = c.over(f(v))
+            if settings.get("optimise"):
+                got = c.over(f(v))
+            else:
+                kind = c.kind(f(v))
+                got = group_function(lambda s: _plain(s, plain), kind, v).build(c)
             return got if na_rm else F.when(c.over(F.count(F.lit(1))) == c.over(F.count(v)), got)
 
         return Expr(go)
@@ -98,20 +150,30 @@ def _aggregate(f: Callable[[Column], Column]) -> Callable[..., Expr]:
     return made
 
 
-sum = _aggregate(F.sum)
-prod = _aggregate(F.product)
-mean = _aggregate(F.avg)
-median = _aggregate(F.median)
-min = _aggregate(F.min)
-max = _aggregate(F.max)
-sd = _aggregate(F.stddev_samp)
-var = _aggregate(F.var_samp)
+def _plain(s, name: str):
+    s = s.dropna()
+    few = 1 if name in ("std", "var") else 0
+    return getattr(s, name)() if len(s) > few else None
+
+
+sum = _aggregate(F.sum, "sum")
+prod = _aggregate(F.product, "prod")
+mean = _aggregate(F.avg, "mean")
+median = _aggregate(F.median, "median")
+min = _aggregate(F.min, "min")
+max = _aggregate(F.max, "max")
+sd = _aggregate(F.stddev_samp, "std")
+var = _aggregate(F.var_samp, "var")
 
 
 def n_distinct(x: object) -> Expr:
     def go(c: Context) -> Column:
         v = c.known(build(x, c))
-        return F.size(F.collect_set(v).over(c.by())).cast("long") if c.window else F.count_distinct(v)
+        if not (c.window and c.groups):
+            return c.over(F.count_distinct(v))
+        # the largest dense rank: sorts, which may spill, instead of a set that holds a whole group
+        rank = c.hidden(F.when(v.isNotNull(), F.dense_rank().over(c.by().orderBy(v.asc_nulls_last()))))
+        return F.coalesce(F.max(rank).over(c.by()), F.lit(0)).cast("long")
 
     return Expr(go)
 
@@ -126,13 +188,11 @@ def _end(last: bool) -> Callable[..., Expr]:
 
         def go(c: Context) -> Column:
             v = c.known(build(x, c))
-            if c.window and order_by is None:
-                c.ordered()
-            if any(k.down for k in c.order):
-                raise TypeError("first and last take rising keys")
-            keys = [build(order_by, c)] if order_by is not None else [k.value for k in c.order]
-            if not keys:
-                raise ValueError("first and last depend on row order: give order_by")
+            if order_by is not None:
+                keys = [build(order_by, c)]
+            else:
+                c.needs_order()
+                keys = [c.place()] if any(k.down for k in c.order) else [k.value for k in c.order]
             place = F.when(v.isNotNull(), F.struct(*keys))
             return c.over((F.max_by if last else F.min_by)(v, place))
 
@@ -145,27 +205,87 @@ first, last = _end(False), _end(True)
 
 
 def row_number() -> Expr:
-    return Expr(lambda c: F.row_number().over(c.ordered()))
+    return Expr(lambda c: c.place())
 
 
 def lag(x: object, n: int = 1, default: object = None) -> Expr:
-    return Expr(lambda c: F.lag(build(x, c), n, default).over(c.ordered()))
+    return Expr(lambda c: c.moved(build(x, c), n, default))
 
 
 def lead(x: object, n: int = 1, default: object = None) -> Expr:
-    return Expr(lambda c: F.lead(build(x, c), n, default).over(c.ordered()))
+    return Expr(lambda c: c.moved(build(x, c), -n, default))
 
 
 def cur_group() -> Expr:
-    return Expr(lambda c: F.struct(*c.groups))
+    return Expr(lambda c: F.struct(*listed(c.groups)))
+
+
+class GroupId(Expr):
+    """The group's number, by sorted keys; 1 without groups. In mutate the numbered keys are joined to the rows."""
+
+    def __init__(self) -> None:
+        super().__init__(self._rows)
+
+    @staticmethod
+    def _rows(c: Context) -> Column:
+        if not c.groups:
+            return F.lit(1).cast("long")
+        name = f"__h{len(c.df.columns)}"
+        keys = c.df.select(*listed(c.groups)).distinct()
+        c.df = null_safe(c.df, number(keys, name, [sort_key(column(g), c.df.schema[g].dataType) for g in c.groups]), c.groups)
+        return F.col(name)
+
+
+def cur_group_id() -> Expr:
+    return GroupId()
 
 
-def if_any(columns: list[str], test: Callable[[Column], Column]) -> Expr:
-    return Expr(lambda c: _fold([test(F.col(x)) for x in columns], lambda a, b: a | b))
+def cur_group_rows() -> Expr:
+    """Row numbers in the frame, from 1: each row's in mutate, a sorted list of a group's in summarise (which has to fit into a value)."""
+
+    def go(c: Context) -> Column:
+        name = f"__h{len(c.df.columns)}"
+        c.df = number(c.df, name)
+        return F.col(name) if c.window else F.sort_array(F.collect_list(name))
+
+    return Expr(go)
+
+
+def _picked(c: Context, wanted: tuple) -> list[Column]:
+    names = [x for x in resolve(c.df.schema, wanted or c.df.columns) if x not in c.groups and not x.startswith("__")]
+    return listed(names)
+
+
+def pick(*wanted: object) -> Expr:
+    """A row's values of the chosen columns (without group keys) as one struct."""
+    return Expr(lambda c: F.struct(*_picked(c, wanted)))
+
+
+def cur_data() -> Expr:
+    return pick()
 
 
-def if_all(columns: list[str], test: Callable[[Column], Column]) -> Expr:
-    return Expr(lambda c: _fold([test(F.col(x)) for x in columns], lambda a, b: a & b))
+def c_across(*wanted: object) -> Expr:
+    """A row's values of the chosen columns as one array."""
+    return Expr(lambda c: F.array(*_picked(c, wanted)))
+
+
+_current: list[str] = []
+
+
+def cur_column() -> str:
+    """The name of the column that across works on."""
+    if not _current:
+        raise ValueError("cur_column is for functions inside across")
+    return _current[-1]
+
+
+def if_any(wanted: list[str], test: Callable[[Column], Column]) -> Expr:
+    return Expr(lambda c: _fold([test(column(x)) for x in resolve(c.df.schema, wanted)], lambda a, b: a | b))
+
+
+def if_all(wanted: list[str], test: Callable[[Column], Column]) -> Expr:
+    return Expr(lambda c: _fold([test(column(x)) for x in resolve(c.df.schema, wanted)], lambda a, b: a & b))
 
 
 def _fold(parts: list[Column], f: Callable[[Column, Column], Column]) -> Column:
@@ -180,10 +300,28 @@ class Across:
     columns: list
     functions: dict[str, Callable]
     names: str
-
-
-def across(columns: list | object, functions: Callable | dict[str, Callable], names: str | None = None) -> Across:
+    unpack: bool = False
+
+    def expressions(self, c: Context) -> dict[str, object]:
+        """Name -> expression, for each column and function; unpack: for each field of a function's struct."""
+        out: dict[str, object] = {}
+        for x in [x for x in resolve(c.df.schema, self.columns) if x not in c.groups and not x.startswith("__")]:
+            for fn, f in self.functions.items():
+                _current.append(x)
+                try:
+                    made, name = f(x), self.names.format(col=x, fn=fn)
+                finally:
+                    _current.pop()
+                kind = c.kind(build(made, Context(c.df, c.groups, c.order))) if self.unpack else None
+                if isinstance(kind, T.StructType):
+                    out |= {f"{name}_{part}": Expr(lambda c, m=made, p=part: build(m, c)[p]) for part in kind.names}
+                else:
+                    out[name] = made
+        return out
+
+
+def across(wanted: list | object, functions: Callable | dict[str, Callable], names: str | None = None, unpack: bool = False) -> Across:
     """Functions of each column; one function keeps the column's name, named ones give {col}_{fn}."""
     many = isinstance(functions, dict)
-    columns = list(columns) if isinstance(columns, (list, tuple)) else [columns]
-    return Across(columns, functions if many else {"": functions}, names or ("{col}_{fn}" if many else "{col}"))
+    wanted = list(wanted) if isinstance(wanted, (list, tuple)) else [wanted]
+    return Across(wanted, functions if many else {"": functions}, names or ("{col}_{fn}" if many else "{col}"), unpack)

@@ -9,7 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.internal import InternalFunction
 
-ROW = "__row"
+ROW, NUMBER = "__row", "__number"
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark parses names: dots and backticks in it mean nothing."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def listed(names: list[str]) -> list[Column]:
+    return [column(n) for n in names]
 
 
 @dataclass(frozen=True)
@@ -38,6 +51,14 @@ def with_row(df: DataFrame) -> DataFrame:
     return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Joins on keys, nulls equal; the right one's other columns come last."""
+    rest = [c for c in right.columns if c not in keys]
+    right = right.select(*(column(k).alias(f"__k{i}") for i, k in enumerate(keys)), *listed(rest))
+    on = [column(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return left.join(right, on, how).drop(*(f"__k{i}" for i in range(len(keys))))
+
+
 def number(df: DataFrame, name: str, order: list[Column] | None = None) -> DataFrame:
     """Consecutive numbers from 1, in row order or that given; distributed, unlike a window over everything."""
     df = df.orderBy(*order) if order else df

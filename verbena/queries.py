@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import api, settings
 from .functions import expressions as e
 from .functions import scalars as s
-from .functions.selectors import contains, ends_with, is_numeric, starts_with, where
+from .functions.selectors import all_of, any_of, contains, ends_with, everything, is_numeric, last_col, matches, nothing, num_range, starts_with, where
 from .operators.frame import Tidy, bind_cols, bind_rows, desc, tidy
 from .sources import tables
+from .streaming import windowed
 
 #: lineitem has no key: all columns order it.
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -315,11 +317,12 @@ def slice_sample_weights(t):
     return t("events").slice_sample(5, by="user_id", weights="value", seed=1)
 
 
-_JOIN = "select o_orderkey, o_custkey, c_custkey, c_name from (select * from orders where o_custkey % 3 <> 0) o {} (select * from customer where c_custkey % 2 = 0) c on o_custkey = c_custkey"
+#: Both whole tables; customers' keys are doubled, so that rows of either side lack a partner.
+_JOIN = "select o_orderkey, o_custkey, c_custkey, c_name from orders o {} (select * replace (2 * c_custkey as c_custkey) from customer) c on o_custkey = c_custkey"
 
 
 def _sides(t):
-    return t("orders").filter(F.col("o_custkey") % 3 != 0).select("o_orderkey", "o_custkey"), t("customer").filter(F.col("c_custkey") % 2 == 0).select("c_custkey", "c_name")
+    return t("orders").select("o_orderkey", "o_custkey"), t("customer").mutate(c_custkey=2 * F.col("c_custkey")).select("c_custkey", "c_name")
 
 
 def _joined(kind: str) -> str:
@@ -350,13 +353,13 @@ def join_full(t):
     return x.full_join(y, by={"o_custkey": "c_custkey"})
 
 
-@query("select o_orderkey, o_custkey from orders where o_custkey % 3 <> 0 and o_custkey in (select c_custkey from customer where c_custkey % 2 = 0)")
+@query("select o_orderkey, o_custkey from orders where o_custkey in (select 2 * c_custkey from customer)")
 def join_semi(t):
     x, y = _sides(t)
     return x.semi_join(y, by={"o_custkey": "c_custkey"})
 
 
-@query("select o_orderkey, o_custkey from orders where o_custkey % 3 <> 0 and o_custkey not in (select c_custkey from customer where c_custkey % 2 = 0)")
+@query("select o_orderkey, o_custkey from orders where o_custkey not in (select 2 * c_custkey from customer)")
 def join_anti(t):
     x, y = _sides(t)
     return x.anti_join(y, by={"o_custkey": "c_custkey"})
@@ -519,3 +522,352 @@ def reframe_range(t):
 @query("select r_regionkey, upper(r_name) as r_name from region")
 def pipe_function(t):
     return t("region").mutate(r_name=e.col("r_name").pipe(F.upper))
+
+
+# -- names with dots: every verb takes them as they are
+
+_DOTTED = "select event_id as \"e.id\", user_id as \"u.id\", event_type as \"e.type\", value as \"v.x\" from events"
+
+
+def _dotted(t):
+    return t("events").select(**{"e.id": "event_id", "u.id": "user_id", "e.type": "event_type", "v.x": "value"})
+
+
+@query(f'select "u.id", round(avg("v.x"), 4) as "m.x", count(*) as n from ({_DOTTED}) group by 1')
+def dotted_summarise(t):
+    return _dotted(t).group_by("u.id").summarise(**{"m.x": _r(e.mean("v.x"))}, n=e.n())
+
+
+@query(f'select *, round("v.x" / sum("v.x") over (partition by "u.id"), 6) as "d.x", lag("v.x") over (partition by "u.id" order by "e.id") as "p.x" from ({_DOTTED})')
+def dotted_mutate(t):
+    return _dotted(t).mutate(**{"d.x": _r(e.col("v.x") / e.sum("v.x"), 6), "p.x": e.lag("v.x")}, by="u.id", order_by="e.id")
+
+
+@query(f'select "u.id", "v.x" from ({_DOTTED}) qualify "v.x" > avg("v.x") over (partition by "u.id")')
+def dotted_filter(t):
+    return _dotted(t).filter(e.col("v.x") > e.mean("v.x"), by="u.id").select("u.id", "v.x")
+
+
+@query(f'select * from ({_DOTTED}) qualify row_number() over (partition by "u.id" order by "e.id") <= 2')
+def dotted_slice(t):
+    return _dotted(t).slice_head(2, by="u.id", order_by="e.id")
+
+
+@query(f'select * from ({_DOTTED}) qualify rank() over (partition by "u.id" order by "v.x" desc) <= 2')
+def dotted_slice_max(t):
+    return _dotted(t).slice_max("v.x", 2, by="u.id")
+
+
+@query(f'select "u.id", "e.type", count(*) as n from ({_DOTTED}) group by all')
+def dotted_count(t):
+    return _dotted(t).count("u.id", "e.type")
+
+
+@query(f'select distinct "u.id", "e.type" from ({_DOTTED})')
+def dotted_distinct(t):
+    return _dotted(t).distinct("u.id", "e.type")
+
+
+@query(f'select "e.id", "u.id" from ({_DOTTED}) qualify row_number() over (partition by "u.id" order by "e.id") > 1')
+def dotted_duplicates(t):
+    return _dotted(t).duplicates("u.id", keep_all=True, order_by="e.id").select("e.id", "u.id")
+
+
+@query(f'select "u.id", round(quantile_cont("v.x", 0.25), 4) as p25 from ({_DOTTED}) group by 1')
+def dotted_quantiles(t):
+    return _dotted(t).quantiles("v.x", probs=(0.25,), by="u.id", pivot="wide").mutate(p25=F.round("p25", 4))
+
+
+@query(f'select "e.id", dense_rank() over (order by "u.id", "e.type") as "g.id", row_number() over (partition by "u.id" order by "e.id") as "r.id" from ({_DOTTED})')
+def dotted_ids(t):
+    return _dotted(t).add_group_id("u.id", "e.type", name="g.id").add_row_id("u.id", name="r.id", order_by="e.id").select("e.id", "g.id", "r.id")
+
+
+@query(f'select a."e.id", a."v.x" as "v.x.x", b."v.x" as "v.x.y" from ({_DOTTED}) a left join (select "u.id", max("v.x") as "v.x" from ({_DOTTED}) group by 1) b using ("u.id")')
+def dotted_join(t):
+    x = _dotted(t)
+    return x.left_join(x.summarise(**{"v.x": e.max("v.x")}, by="u.id"), by="u.id").select("e.id", "v.x.x", "v.x.y")
+
+
+@query(f'select "e.id", last_value(case when "e.id" % 3 = 0 then "v.x" end ignore nulls) over (partition by "u.id" order by "e.id") as "v.x" from ({_DOTTED})')
+def dotted_fill(t):
+    return _dotted(t).mutate(**{"v.x": F.when(F.col("`e.id`") % 3 == 0, F.col("`v.x`"))}).fill("v.x", by="u.id", order_by="e.id").select("e.id", "v.x")
+
+
+@query(f'select "u.id", "e.type" from (select distinct "u.id" from ({_DOTTED})), (select distinct "e.type" from ({_DOTTED}))')
+def dotted_expand(t):
+    return _dotted(t).expand("u.id", "e.type")
+
+
+@query(f'select *, row_number() over (order by "e.type", "e.id") as "r.id" from (select "e.type", "e.id" from ({_DOTTED}))')
+def dotted_arrange(t):
+    return _dotted(t).select("e.type", "e.id").arrange("e.type", "e.id").add_row_id(name="r.id")
+
+
+# -- without groups: no task sees all rows
+
+
+@query("select event_id, round(value / sum(value) over (), 8) as d, count(*) over () as n, count(distinct event_type) over () as kinds from events")
+def mutate_ungrouped(t):
+    return t("events").mutate(d=_r(e.col("value") / e.sum("value"), 8), n=e.n(), kinds=e.n_distinct("event_type")).select("event_id", "d", "n", "kinds")
+
+
+@query("select event_id, row_number() over (order by event_id) as rn, lag(value) over (order by event_id) as prev, lead(value, 2, -1.0) over (order by event_id) as next2 from events")
+def mutate_ungrouped_ordered(t):
+    return t("events").mutate(rn=e.row_number(), prev=e.lag("value"), next2=e.lead("value", 2, -1.0), order_by="event_id").select("event_id", "rn", "prev", "next2")
+
+
+@query(f"select event_id, last_value(v ignore nulls) over (order by event_id) as v from ({_GAPS})")
+def fill_ungrouped(t):
+    return _gaps(t).fill("v", order_by="event_id").select("event_id", "v")
+
+
+@query("select * from events qualify rank() over (order by value desc nulls last) <= 7")
+def slice_max_ungrouped(t):
+    return t("events").slice_max("value", 7)
+
+
+@query("select * from events qualify row_number() over (order by event_id desc) <= 9")
+def slice_tail_ungrouped(t):
+    return t("events").slice_tail(9, order_by="event_id")
+
+
+@query("select event_id, user_id, kinds from (select event_id, user_id, event_type from events) join (select user_id, count(distinct event_type) as kinds from events group by 1) using (user_id)")
+def mutate_n_distinct(t):
+    return t("events").mutate(kinds=e.n_distinct("event_type"), by="user_id").select("event_id", "user_id", "kinds")
+
+
+@query("select user_id, arg_max(event_type, event_id) as newest from events group by 1")
+def summarise_first_descending(t):
+    return t("events").summarise(newest=e.first("event_type"), by="user_id", order_by=desc("event_id"))
+
+
+# -- groups and rows
+
+
+@query("select c_custkey, dense_rank() over (order by c_nationkey) as id, row_number() over (order by c_custkey) as row from customer")
+def cur_group_helpers(t):
+    x = Tidy(t("customer").arrange("c_custkey").df).mutate(id=e.cur_group_id(), row=e.cur_group_rows(), by="c_nationkey")
+    return x.select("c_custkey", "id", "row")
+
+
+@query("select c_nationkey, dense_rank() over (order by c_nationkey) as id, count(*) as n from customer group by c_nationkey")
+def summarise_group_id(t):
+    return t("customer").summarise(id=e.cur_group_id(), n=e.n(), by="c_nationkey")
+
+
+@query("select c_custkey, c_nationkey as key from customer")
+def cur_group(t):
+    return t("customer").mutate(g=e.cur_group(), by="c_nationkey").mutate(key=F.col("g.c_nationkey")).select("c_custkey", "key")
+
+
+@query("select l_orderkey, l_linenumber, greatest(l_quantity, l_tax, l_discount) as hi, l_quantity as q, (l_quantity > 45 or l_tax > 45) as any_, (l_quantity > 1 and l_tax > 0) as all_ from lineitem")
+def row_helpers(t):
+    x = t("lineitem").mutate(hi=e.c_across("l_quantity", "l_tax", "l_discount").pipe(F.array_max), q=e.pick("l_quantity", "l_tax").pipe(lambda c: c["l_quantity"]), any_=e.if_any(["l_quantity", "l_tax"], lambda c: c > 45))
+    return x.mutate(all_=e.if_all(["l_quantity"], lambda c: c > 1) & e.if_all(["l_tax"], lambda c: c > 0)).select("l_orderkey", "l_linenumber", "hi", "q", "any_", "all_")
+
+
+@query("select l_returnflag, min(l_tax) as l_tax_lo, max(l_tax) as l_tax_hi, min(l_discount) as l_discount_lo, max(l_discount) as l_discount_hi from lineitem group by 1")
+def across_unpack(t):
+    ends = lambda x: e.Expr(lambda c: F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")))
+    return t("lineitem").summarise(e.across(["l_tax", "l_discount"], ends, unpack=True), by="l_returnflag")
+
+
+@query("select l_returnflag, 'l_tax:' || count(l_tax) as l_tax from lineitem group by 1")
+def across_cur_column(t):
+    def named(x):
+        name = e.cur_column()
+        return e.Expr(lambda c: F.concat(F.lit(name + ":"), F.count(x)))
+
+    return t("lineitem").summarise(e.across("l_tax", named), by="l_returnflag")
+
+
+@query("select c_nationkey, round(max(c_acctbal) - min(c_acctbal), 4) as spread from customer group by 1")
+def summarise_function(t):
+    return t("customer").summarise(spread=_r(e.group_function(lambda x: x.max() - x.min(), "double", "c_acctbal")), by="c_nationkey")
+
+
+@query("select c_custkey, c_acctbal - min(c_acctbal) over (partition by c_nationkey) as above from customer")
+def mutate_function(t):
+    x = t("customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return x.mutate(function=lambda d: d.assign(above=d["c_acctbal"] - d["c_acctbal"].min())[["c_custkey", "above"]], schema="c_custkey long, above double", by="c_nationkey")
+
+
+@query("select c_mktsegment, round(avg(c_acctbal), 4) as m, round(stddev_samp(c_acctbal), 4) as s, max(c_acctbal) as hi from customer group by 1")
+def summarise_without_optimisations(t):
+    settings.disable_optimisations()
+    try:
+        return t("customer").summarise(m=_r(e.mean("c_acctbal")), s=_r(e.sd("c_acctbal")), hi=e.max("c_acctbal"), by="c_mktsegment")
+    finally:
+        settings.enable_optimisations()
+
+
+@query("select c_nationkey, list(i order by i) as rows from (select c_nationkey, row_number() over (order by c_custkey) as i from customer) group by 1")
+def group_data(t):
+    return Tidy(t("customer").arrange("c_custkey").df).group_by("c_nationkey").group_data()
+
+
+@query("select list(i order by i) as rows from (select c_nationkey, row_number() over (order by c_custkey) as i from customer) group by c_nationkey")
+def group_rows(t):
+    return Tidy(t("customer").arrange("c_custkey").df).group_by("c_nationkey").group_rows()
+
+
+def _made(t, rows, schema):
+    return t("region").df.sparkSession.createDataFrame(rows, schema)
+
+
+@query("select count(distinct c_nationkey) as n, true as ordered, 'c_nationkey' as vars, true as flag from customer")
+def group_facts(t):
+    g = t("customer").group_by("c_nationkey")
+    return _made(t, [(g.n_groups(), g.group_ordered(), ",".join(g.group_vars()), settings.group_by_order_default(g))], "n long, ordered boolean, vars string, flag boolean")
+
+
+@query("select r_name as part, count(*) as n from region group by 1")
+def group_split(t):
+    parts = t("region").group_by("r_name").group_split(names=True)
+    return bind_rows(*(p.mutate(part=F.lit(k)).count("part") for k, p in ((k, tidy(x)) for k, x in parts.items())))
+
+
+@query("select 0::bigint as n, null::double as total")
+def summarise_empty(t):
+    return t("orders").filter(F.lit(False)).summarise(n=e.n(), total=e.sum("o_totalprice"))
+
+
+@query("select user_id, count(*) as n, least(count(*), 5) as drawn from events group by 1")
+def slice_sample_sizes(t):
+    return t("events").count("user_id").left_join(t("events").slice_sample(5, by="user_id", seed=1).count("user_id", name="drawn"), by="user_id")
+
+
+@query("select user_id, event_type, count(*) as n from events group by all")
+def group_by_add(t):
+    return t("events").group_by("user_id").group_by("event_type", add=True).summarise(n=e.n())
+
+
+# -- names and tables
+
+
+@query("select n_nationkey as key, n_name as name, n_regionkey from nation")
+def rename(t):
+    return t("nation").rename(key="n_nationkey", name="n_name")
+
+
+@query("select r_name as x from region")
+def pull(t):
+    return _made(t, [(x,) for x in t("region").pull("r_name")], "x string")
+
+
+@query("select l_orderkey, l_tax, l_shipdate from lineitem")
+def select_more_helpers(t):
+    return t("lineitem").select(all_of(["l_orderkey"]), any_of(["l_tax", "none"]), nothing(), last_col())
+
+
+@query("select l_partkey, l_suppkey from lineitem")
+def select_matches(t):
+    return t("lineitem").select(matches("_(part|supp)key$") & everything() & ~nothing())
+
+
+@query("select 1 as x1, 2 as x2, 'a' as y")
+def select_num_range(t):
+    return tables.new_tbl(t("region").df.sparkSession, x1=1, x2=2, x3=3, y="a").select(num_range("x", range(1, 3)), "y").mutate(x1=F.col("x1").cast("int"), x2=F.col("x2").cast("int"))
+
+
+@query("select * from (values (1, 'k', 2), (2, 'k', 4)) t(x, y, z)")
+def new_tbl(t):
+    return tables.new_tbl(t("region").df.sparkSession, x=[1, 2], y="k", z=lambda m: [2 * v for v in m["x"]]).mutate(x=F.col("x").cast("int"), z=F.col("z").cast("int"))
+
+
+@query("select 7 as a, 'q' as b")
+def as_tbl(t):
+    return tables.as_tbl(tables.as_tbl(_made(t, [(7, "q")], "a int, b string")))
+
+
+@query("select * from (values ('a', 1), ('b', 2)) t(name, value)")
+def enframe(t):
+    return tables.enframe({"a": 1, "b": 2}, t("region").df.sparkSession).mutate(value=F.col("value").cast("int"))
+
+
+@query("select 'r_name' as name, list(r_name order by r_name) as value from region")
+def enframe_table(t):
+    return tables.enframe(t("region").select("r_name")).mutate(value=F.sort_array("value"))
+
+
+@query("select r_regionkey as k, r_name as v from region")
+def deframe(t):
+    return _made(t, list(tables.deframe(t("region").select("r_regionkey", "r_name")).items()), "k long, v string").withColumn("k", F.col("k").cast(t("region").df.schema["r_regionkey"].dataType))
+
+
+@query("select 'a=1,b=2,col_1=9' as x, '9' as y")
+def list_tidy(t):
+    got = tables.list_tidy(9, named=True, a=1, b=lambda m: m["a"] + 1)
+    return _made(t, [(",".join(f"{k}={got[k]}" for k in sorted(got)), str(tables.list_tidy(9)[0]))], "x string, y string")
+
+
+@query("select 'lgamma,mod,sinpi' as x")
+def group_unaware(t):
+    return _made(t, [(",".join(sorted({"mod", "lgamma", "sinpi", "mean"} & set(api.get_group_unaware_fns()))),)], "x string")
+
+
+@query("select n_nationkey, n_name, r_name, 'x' as one from nation, (select r_name from region where r_regionkey = 0)")
+def bind_columns_recycled(t):
+    return bind_cols(t("nation").select("n_nationkey", "n_name"), t("region").filter(F.col("r_regionkey") == 0).select("r_name"), one="x")
+
+
+@query("select a.r_regionkey, b.n from region a join (select r_regionkey, count(*) as n from region group by all) b using (r_regionkey)")
+def join_complex_keys(t):
+    x = t("region").mutate(k=F.create_map(F.lit("b"), "r_name", F.lit("a"), "r_name"), s=F.struct("r_regionkey"))
+    y = t("region").mutate(k=F.create_map(F.lit("a"), "r_name", F.lit("b"), "r_name"), s=F.struct("r_regionkey"), n=F.lit(1).cast("long")).select("k", "s", "n")
+    return x.inner_join(y, by=["k", "s"]).select("r_regionkey", "n")
+
+
+@query("select dense_rank() over (order by c_nationkey) as group_id from customer")
+def group_id(t):
+    return api.group_id(t("customer"), "c_nationkey")
+
+
+@query("select row_number() over (partition by c_nationkey order by c_custkey) as row_id from customer")
+def row_id_plain(t):
+    return api.row_id(t("customer"), "c_nationkey", order_by="c_custkey")
+
+
+@query(f"select sum(c) over (order by event_id)::bigint as consecutive_id from ({_RUN.format(w='(order by event_id)')})")
+def consecutive_id_plain(t):
+    return api.f_consecutive_id(t("events"), "event_type", order_by="event_id")
+
+
+# -- scalar functions
+
+
+@query("select c_custkey, round(exp(x), 8) as e, round(ln(x + 1), 8) as l, round(ln(x + 1) / ln(2), 8) as l2, round(exp(x) - 1, 8) as em, round(ln(1 + x), 8) as lp, sign(c_acctbal)::int as s, trunc(c_acctbal)::bigint as t from (select *, c_custkey % 10 / 10.0 as x from customer)")
+def scalars_exponential(t):
+    x = F.col("c_custkey") % 10 / 10
+    return t("customer").mutate(e=_r(F.exp(x), 8), l=_r(s.log(x + 1), 8), l2=_r(s.log(x + 1, 2), 8), em=_r(s.expm1(x), 8), lp=_r(s.log1p(x), 8), s=F.sign("c_acctbal").cast("int"), t=s.trunc(F.col("c_acctbal")).cast("long")).select("c_custkey", "e", "l", "l2", "em", "lp", "s", "t")
+
+
+@query("select c_custkey, round(cos(x), 8) as c, round(sin(x), 8) as s, round(tan(x), 8) as t, round(acos(x), 8) as ac, round(asin(x), 8) as asi, round(atan(x), 8) as at, round(cosh(x), 8) as ch, round(sinh(x), 8) as sh, round(tanh(x), 8) as th, round(asinh(x), 8) as ash, round(acosh(1 + x), 8) as ach, round(atanh(x), 8) as ath, round(cos(pi() * x), 8) + 0.0 as cp, round(sin(pi() * x), 8) as sp, round(tan(pi() * x / 3), 8) as tp from (select c_custkey, c_custkey % 10 / 10.0 as x from customer)")
+def scalars_trigonometric(t):
+    x = F.col("c_custkey") % 10 / 10
+    made = {"c": F.cos(x), "s": F.sin(x), "t": F.tan(x), "ac": F.acos(x), "asi": F.asin(x), "at": F.atan(x), "ch": F.cosh(x), "sh": F.sinh(x), "th": F.tanh(x), "ash": F.asinh(x), "ach": F.acosh(1 + x), "ath": F.atanh(x), "cp": s.cospi(x), "sp": s.sinpi(x), "tp": s.tanpi(x / 3)}
+    return t("customer").mutate(**{k: _r(v, 8) + F.lit(0.0) for k, v in made.items()}).select("c_custkey", *made)
+
+
+@query("select c_custkey, round(lgamma(x), 8) as lg, round(gamma(x), 6) as g, gcd(c_custkey, 36)::bigint as d, lcm(c_custkey, 36)::bigint as m from (select c_custkey, c_custkey % 60 / 4.0 + 0.25 as x from customer)")
+def scalars_gamma(t):
+    x = F.col("c_custkey") % 60 / 4 + 0.25
+    return t("customer").mutate(lg=_r(s.lgamma(x), 8), g=_r(s.gamma(x), 6), d=s.gcd(F.col("c_custkey"), F.lit(36)), m=s.lcm(F.col("c_custkey"), F.lit(36))).select("c_custkey", "lg", "g", "d", "m")
+
+
+@query("select c_custkey, round(sum(1.0 / k) - 0.5772156649015329, 8) as di, round(pi() * pi() / 6 - coalesce(sum(1.0 / (k * k)), 0), 8) as tri from customer, range(1, 41) r(k) where k <= 1 + c_custkey % 40 group by all")
+def scalars_digamma(t):
+    x = F.col("c_custkey") % 40 + 2
+    return t("customer").mutate(di=_r(s.digamma(x), 8), tri=_r(s.trigamma(x), 8)).select("c_custkey", "di", "tri")
+
+
+@query("select o_orderkey, x, (x % 7 + 7) % 7 as m, floor((x - (x % 7 + 7) % 7) / 7)::bigint as q from (select o_orderkey, case when o_orderkey % 2 = 0 then 1 else -1 end * (9007199254740993 + o_orderkey) as x from orders)".replace("floor((x - (x % 7 + 7) % 7) / 7)", "((x - (x % 7 + 7) % 7) // 7)"))
+def scalars_whole_numbers(t):
+    x = F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1) * (F.lit(9007199254740993) + F.col("o_orderkey"))
+    return t("orders").mutate(x=x).mutate(m=s.mod(F.col("x"), F.lit(7)), q=s.idiv(F.col("x"), F.lit(7))).select("o_orderkey", "x", "m", "q")
+
+
+@query("select event_type, date_trunc('day', ts) as window_start, count(*) as n, round(sum(value), 2) as total from events group by all")
+def stream_windowed(t):
+    return windowed(t("events").df, "ts", "1 day", "1 hour", "event_type", n=F.count(F.lit(1)), total=F.round(F.sum("value"), 2))

@@ -17,12 +17,17 @@ def set_order_groups(flag: bool) -> None:
     _values["order_groups"] = flag
 
 
+def group_by_order_default(x: object = None) -> bool:
+    """Whether groups come sorted: a grouped frame's own flag, else the session's."""
+    return x.ordered if getattr(x, "groups", None) else _values["order_groups"]
+
+
 def enable_optimisations() -> None:
     _values["optimise"] = True
 
 
 def disable_optimisations() -> None:
-    """Reframe goes through pandas, group by group: slow, to cross-check the native plans."""
+    """Aggregates of the expression library go through pandas, group by group: slow, to cross-check the native plans."""
     _values["optimise"] = False
 
 
