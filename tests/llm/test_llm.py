@@ -351,6 +351,7 @@ def test_bit_packing(bits):
     assert (tokens.unpack(tokens.pack(x, bits), len(x), bits) == x).all()
     f = tokens.TokenFile(tokens.to_file([5, None], [9000, 10_001], x, bits))
     assert (f.doc(1) == x[9000:]).all() and (f.slice(4090, 4100) == x[4090:4100]).all() and f.doc_ids == [5, None]
+    assert all((a == b).all() and len(a) == len(b) for size in (1, 100, 9500, 10**6) for a, b in zip(f.docs(size), (x[:9000], x[9000:]), strict=True))
 
 
 def test_quality_stage_changes_no_value(spark):

@@ -24,7 +24,7 @@ BLOCK_IDS = 4096
 #: A file is closed after the document that brings it to so many ids.
 FILE_IDS = 2_000_000
 #: Chunks that a worker keeps the ids of, and characters of a batch, of which each chunk is looked up once.
-KNOWN, BATCH_CHARS = 400_000, 4_000_000
+KNOWN, BATCH_CHARS = 400000, 4_000_000
 #: New chunks that the library gets at once: it holds some hundred bytes a token meanwhile.
 AT_ONCE = 20_000
 _HEAD = struct.Struct("<8sBQQQ")
@@ -33,6 +33,8 @@ _HEAD = struct.Struct("<8sBQQQ")
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Little-endian bit packing: id k takes the bits k * bits to (k + 1) * bits - 1."""
     n = len(ids)
+    if bits in (8, 16, 32):
+        return ids.astype(f"<u{bits // 8}").tobytes()
     v = np.zeros(-(-n // 8) * 8, np.uint64)
     v[:n] = ids
     v = v.reshape(-1, 8)
@@ -46,6 +48,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", n).astype("<u4")
     raw = np.zeros((-(-n // 8), bits), np.uint8)
     raw.reshape(-1)[: len(data)] = np.frombuffer(data, np.uint8)
     out = np.zeros((len(raw), 8), np.uint64)
@@ -93,6 +97,15 @@ class TokenFile:
     def doc(self, k: int) -> np.ndarray:
         return self.slice(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
+    def docs(self, ids: int = 1 << 18) -> Iterator[np.ndarray]:
+        """All documents in order; about so many ids are unpacked at a time, so that no block is unpacked for each of its documents."""
+        start, a, held = 0, 0, self.slice(0, 0)
+        for stop in self.ends.tolist():
+            if stop > a + len(held):
+                a, held = start, self.slice(start, min(self.n_ids, max(stop, start + ids)))
+            yield held[start - a : stop - a]
+            start = stop
+
 
 class Encoder:
     """Texts to ids as the tokenizer gives them; each chunk of a batch is encoded once, and remembered.
@@ -161,8 +174,6 @@ class Encoder:
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_chunk:
             return [np.frombuffer(self._whole(t), "<u4") for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
         out, cut = [], []
         for i, t in enumerate(texts):
             plain = t.replace("\n", " ")
@@ -181,6 +192,8 @@ class Encoder:
                 self._learn([names[i] for i in new])
                 for i in new:
                     own[i] = self.known[names[i]]
+            if len(self.known) > self.most:  # the batch's chunks, and so the frequent ones, stay
+                self.known = dict(zip(names, own, strict=True))
             size = np.fromiter(map(len, own), np.int64, len(own)) // 4
             place, which = np.cumsum(size) - size, coded.indices.to_numpy()
             n = size[which]
@@ -243,7 +256,7 @@ def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, base in zip(b["file"], b["base"], strict=True):
             f = TokenFile(read_file(name))
             starts = [0, *f.ends[:-1].tolist()]
-            crc = [zlib.crc32(f.doc(k).tobytes()) for k in range(len(starts))]
+            crc = [zlib.crc32(ids.tobytes()) for ids in f.docs()]
             yield pd.DataFrame({"id": pd.array(f.doc_ids, "Int64"), "start": [base + s for s in starts], "n_tokens": np.diff([0, *f.ends.tolist()]), "ids_crc32": crc})
 
 
