@@ -432,10 +432,14 @@ def test_numbers_are_no_letters(spark):
     assert [r.lang_pred for r in langid.identify(docs, known).orderBy("doc_id").collect()] == ["und", "und", "und", "en"]
 
 
-def test_copies_take_one_place_of_the_sample(spark):
+def test_copies_take_one_place_of_the_sample(spark, monkeypatch):
     docs = spark.createDataFrame([(f"text number {chr(97 + i)}", "xx") for i in range(20)] + [("the same", "xx")] * 900, "text string, lang string")
     got = langid.learn(docs)["xx"].decode()
     assert got.count("the same") == 1 and got.count("text number") == 20
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 5)
+    ranks = [r[0] for r in docs.select(F.xxhash64("text").alias("h"), "text").distinct().orderBy("h").select("text").collect()]
+    want = {langid.plain(t) for t in ranks[:5]}
+    assert langid.learn(docs)["xx"].decode() == " ".join(langid.plain(t) for t in ranks[:5]) and len(want) == 5
 
 
 def test_language_held_out(spark):

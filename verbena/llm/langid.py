@@ -47,7 +47,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
     """
     rank = F.xxhash64(text_col) if order is None else order
     held = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), rank.alias("rank"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
-    top = InternalFunction.collect_top_k(F.col("rank"), SAMPLE_DOCS, False)
+    top = InternalFunction.collect_top_k(F.col("rank"), SAMPLE_DOCS, True)  # the smallest
     last = held.select("lang", "rank").distinct().groupBy("lang").agg(F.array_max(top).alias("last"))
     few = held.join(F.broadcast(last), "lang").filter("rank <= last").groupBy("lang", "rank").agg(F.min("text").alias("text"))
     texts: dict[str, list[tuple]] = {}
