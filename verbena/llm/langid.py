@@ -26,16 +26,23 @@ UNKNOWN = "und"
 _NOISE = re.compile(r"[\W\d_]+")
 
 
+_FAR = re.compile("[\U00010000-\U0010ffff]")
+
+
 @lru_cache(maxsize=None)
-def _odd_numbers() -> re.Pattern:
+def _odd_numbers(first: int, last: int) -> re.Pattern:
     """Fractions, superscripts, Roman numerals and the like: neither letters nor digits of ``_NOISE``."""
-    return re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
+    return re.compile("[" + "".join(c for c in map(chr, range(first, last + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 
 
 def plain(text: str) -> str:
     """Letters (as str.isalpha has them) only, lower-case, runs of anything else as one space."""
     out = _NOISE.sub(" ", text.lower())
-    return (out if out.isascii() else _odd_numbers().sub(" ", out)).strip()
+    if not out.isascii():
+        out = _odd_numbers(0x80, 0xFFFF).sub(" ", out)  # in one plane a set is a table, which is quick
+        if _FAR.search(out):
+            out = _odd_numbers(0x10000, sys.maxunicode).sub(" ", out)
+    return out.strip()
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: F.Column | None = None) -> dict[str, bytes]:
