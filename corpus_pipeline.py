@@ -9,6 +9,10 @@ from verbena.llm.common import read, write_table
 from verbena.llm.queries import tokenizer_path
 
 
+#: Chunks that the token encoder remembers: fewer than alone, as its workers have been through the other stages.
+KNOWN = 200_000
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold go."""
     return quality.keep_good(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -31,7 +35,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files; a row per document read back from them."""
-    return tokens.token_binary(docs, tokenizer_path())
+    return tokens.token_binary(docs, tokenizer_path(), known=KNOWN)
 
 
 STAGES = [

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_name, rows_with_keys, write_table
-from .files import small_batches
+from .files import give_back, small_batches
 
 SEED_WORDS = 5
 #: Words of benchmark items that are looked up at once; more items take more passes over the texts.
@@ -132,6 +132,7 @@ def _find(shared, threshold: float):
                         if score >= threshold:
                             rows.append((doc, key, seeds.names[item], score, lo + start, lo + end))
             yield pd.DataFrame(rows, columns=["id", "key", "item_id", "score", "start_word", "end_word"])
+        give_back()
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -9,6 +10,7 @@ from collections.abc import Iterable
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import NativeFile, fs
 from pyspark.sql import SparkSession
 
@@ -63,6 +65,14 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: workers live on, idle, through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def whole(values: list) -> pd.Series:
     """Ids that went to Python as strings, as 64-bit integers with nulls: a float column would round large ones."""
     return pd.Series(pd.array([None if v is None or v != v else int(v) for v in values], dtype="Int64"))

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, drop_table, join_groups, rows_with_keys, uid, write_table
-from .files import small_batches
+from .files import give_back, small_batches
 from .shingles import U, mix, shingle_sets
 
 #: Shingles (at least 200 a set) of a verification block; two blocks meet in one task.
@@ -226,6 +226,7 @@ def _names(words: int, num: int, den: int):
                 out["n_keys"] = [n_keys(len(s), num, den) if len(s) else 0 for s in sets]
                 out["bits"] = [bitmap(s, num, den) if len(s) else None for s in sets]
                 yield out
+        give_back()
 
     return run
 
@@ -269,6 +270,7 @@ def _index(words: int, num: int, den: int, buckets: int):
                     yield flush()
         if held:
             yield flush()
+        give_back()
 
     return run
 

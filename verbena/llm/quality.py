@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import small_batches
+from .files import give_back, small_batches
 from .shingles import U, mix, word_hashes
 
 #: The bounded sample of labelled rows, by hash of the id.
@@ -201,5 +201,6 @@ def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text", metadat
             for s, rows in _batches(own, len(metadata)):
                 keep[s] = [m.score(*r) >= threshold for r in rows]
             yield pd.Series(keep)
+        give_back()
 
     return docs.filter(good(F.coalesce(F.col(text_col), F.lit("")), *(F.col(c).cast("double") for c in metadata)))

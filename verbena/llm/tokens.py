@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch_path, write_table
-from .files import read_file, small_batches, write_file
+from .files import give_back, read_file, small_batches, write_file
 
 MAGIC = b"VTOKENS1"
 #: ids of a block; a multiple of 8, so that each block starts at a byte.
@@ -207,18 +207,19 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, known: int = KNOWN) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].most = known
     return _encoders[path]
 
 
-def _packed(out: str, tokenizer: str, end_id: int, file_ids: int):
+def _packed(out: str, tokenizer: str, end_id: int, file_ids: int, known: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        enc, seq, docs, ends, held, n = encoder(tokenizer), 0, [], [], [], 0
+        enc, seq, docs, ends, held, n = encoder(tokenizer, known), 0, [], [], [], 0
         last = np.array([end_id], "<u4")
 
         def close() -> pd.DataFrame:
@@ -247,11 +248,15 @@ def _packed(out: str, tokenizer: str, end_id: int, file_ids: int):
                 at = stop
         if docs:
             yield close()
+        give_back()
 
     return run
 
 
 def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    if _encoders:  # the writing is over, and the worker needs its encoder no more
+        _encoders.clear()
+        give_back()
     for b in batches:
         for name, base in zip(b["file"], b["base"], strict=True):
             f = TokenFile(read_file(name))
@@ -260,7 +265,7 @@ def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": pd.array(f.doc_ids, "Int64"), "start": [base + s for s in starts], "n_tokens": np.diff([0, *f.ends.tolist()]), "ids_crc32": crc})
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_ids: int = FILE_IDS) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_ids: int = FILE_IDS, known: int = KNOWN) -> DataFrame:
     """Writes every whole text, in ascending id order, as token files under out; returns the manifest: one row per file,
     in order (task, seq): file, n_docs, n_ids, base (ids in all files before it).
 
@@ -270,7 +275,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, id_col: str = "
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select(F.col("id").cast("string").alias("id"), "text")
-    made = write_table(rows.mapInPandas(_packed(out, tokenizer, end_id, file_ids), "task long, seq long, file string, n_docs long, n_ids long"), "manifest")
+    made = write_table(rows.mapInPandas(_packed(out, tokenizer, end_id, file_ids, known), "task long, seq long, file string, n_docs long, n_ids long"), "manifest")
     before = W.orderBy("task", "seq").rowsBetween(W.unboundedPreceding, -1)
     return made.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
