@@ -186,11 +186,6 @@ def count_wt(t):
     return t("lineitem").count("l_returnflag", wt="l_quantity").mutate(n=F.round("n", 2))
 
 
-@query("select l_suppkey, count(*) as n from lineitem group by all order by n desc, l_suppkey limit 20")
-def count_sort(t):
-    return t("lineitem").count("l_suppkey", sort=True).slice_head(20, order_by=[desc("n"), "l_suppkey"])
-
-
 @query("select *, row_number() over (order by n desc, l_suppkey) as row_id from (select l_suppkey, count(*) as n from lineitem group by all)")
 def count_sort_all(t):
     return t("lineitem").count("l_suppkey", sort=True).add_row_id()
@@ -236,17 +231,6 @@ def duplicates_count(t):
     return t("orders").duplicates("o_custkey", keep_all=True, both_ways=True, add_count=True).select("o_orderkey", "o_custkey", "n")
 
 
-@query("select * from (select *, case when c_acctbal > 0 then c_acctbal end as b from customer) order by b desc nulls last, c_custkey limit 50")
-def arrange_desc_nulls(t):
-    x = t("customer").mutate(b=F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))).arrange(desc("b"), "c_custkey")
-    return x.df.limit(50)
-
-
-@query("select * from customer order by c_nationkey, c_name limit 40")
-def arrange_by_group(t):
-    return t("customer").group_by("c_nationkey").arrange("c_name", by_group=True).df.limit(40)
-
-
 @query("select *, row_number() over (order by b desc nulls last, c_custkey) as row_id from (select *, case when c_acctbal > 0 then c_acctbal end as b from customer)")
 def arrange_desc_nulls_all(t):
     return t("customer").mutate(b=F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))).arrange(desc("b"), "c_custkey").add_row_id()
