@@ -37,11 +37,17 @@ class Context:
     def by(self) -> W:
         return W.partitionBy(*listed(self.groups))
 
-    def over(self, aggregate: Column) -> Column:
-        """Without groups a scalar subquery: a window over everything would take all rows to one task."""
+    def over(self, aggregate: Column, adds: bool = False) -> Column:
+        """Without groups a scalar subquery: a window over everything would take all rows to one task.
+
+        adds: it adds up values, and the last bits of a sum of doubles depend on the order of the rows, which a shuffle leaves
+        open. So a group's rows add up in the order, if there is one (with ties the order of tied rows stays open)."""
         if not self.window:
             return aggregate
-        return aggregate.over(self.by()) if self.groups else self.df.agg(aggregate.alias("x")).scalar()
+        if not self.groups:
+            return self.df.agg(aggregate.alias("x")).scalar()
+        rows = self.ordered().rowsBetween(W.unboundedPreceding, W.unboundedFollowing) if adds and self.order else self.by()
+        return aggregate.over(rows)
 
     def ordered(self) -> W:
         self.needs_order()
@@ -131,7 +137,7 @@ def group_function(f: Callable, kind: str, *values: object) -> Expr:
     return Expr(go)
 
 
-def _aggregate(f: Callable[[Column], Column], plain: str) -> Callable[..., Expr]:
+def _aggregate(f: Callable[[Column], Column], plain: str, adds: bool = False) -> Callable[..., Expr]:
     def made(x: object, na_rm: bool = True) -> Expr:
         """Missing values (null, NaN) are skipped; with na_rm=False one of them makes the result null. With optimisations
         switched off the same runs in pandas, group by group."""
@@ -139,7 +145,7 @@ def _aggregate(f: Callable[[Column], Column], plain: str) -> Callable[..., Expr]
         def go(c: Context) -> Column:
             v = c.known(build(x, c))
             if settings.get("optimise"):
-                got = c.over(f(v))
+                got = c.over(f(v), adds)
             else:
                 kind = c.kind(f(v))
                 got = group_function(lambda s: _plain(s, plain), kind, v).build(c)
@@ -156,14 +162,14 @@ def _plain(s, name: str):
     return getattr(s, name)() if len(s) > few else None
 
 
-sum = _aggregate(F.sum, "sum")
-prod = _aggregate(F.product, "prod")
-mean = _aggregate(F.avg, "mean")
+sum = _aggregate(F.sum, "sum", adds=True)
+prod = _aggregate(F.product, "prod", adds=True)
+mean = _aggregate(F.avg, "mean", adds=True)
 median = _aggregate(F.median, "median")
 min = _aggregate(F.min, "min")
 max = _aggregate(F.max, "max")
-sd = _aggregate(F.stddev_samp, "std")
-var = _aggregate(F.var_samp, "var")
+sd = _aggregate(F.stddev_samp, "std", adds=True)
+var = _aggregate(F.var_samp, "var", adds=True)
 
 
 def n_distinct(x: object) -> Expr:

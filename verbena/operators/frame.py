@@ -155,7 +155,8 @@ class Tidy:
         return self._new(df.select(*listed([c for c in names if c in df.columns])))
 
     def filter(self, *tests: object, by: object = None, order_by: object = None) -> Tidy:
-        """Rows for which all tests are true; tests may hold aggregates of the group."""
+        """Rows for which all tests are true; tests may hold aggregates of the group. A row that equals a group's mean, say, is
+        decided by the last bits of a sum: an order (order_by) makes reruns agree, as the group's rows then add up in it."""
         groups = self._by(by)
         df, order = self._placed(order_by) if order_by or self.order_by else (self.df, [])
         plain = [t for t in tests if not isinstance(t, E.Expr)]

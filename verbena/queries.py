@@ -529,7 +529,7 @@ def dotted_mutate(t):
 
 @query(f'select "u.id", "v.x" from ({_DOTTED}) qualify "v.x" > avg("v.x") over (partition by "u.id")')
 def dotted_filter(t):
-    return _dotted(t).filter(e.col("v.x") > e.mean("v.x"), by="u.id").select("u.id", "v.x")
+    return _dotted(t).filter(e.col("v.x") > e.mean("v.x"), by="u.id", order_by="e.id").select("u.id", "v.x")
 
 
 @query(f'select * from ({_DOTTED}) qualify row_number() over (partition by "u.id" order by "e.id") <= 2')
