@@ -137,7 +137,7 @@ def filter_multi(t):
 
 @query("select * from events qualify value > 1.5 * avg(value) over (partition by user_id)")
 def filter_grouped(t):
-    return t("events").filter(e.col("value") > 1.5 * e.mean("value"), by="user_id")
+    return t("events").filter(e.col("value") > 1.5 * e.mean("value"), by="user_id", order_by="event_id")
 
 
 @query("select event_id, nullif(event_type, 'click') as kind, case when value > 50 then value end as big from events where nullif(event_type, 'click') is not null and value > 50")
